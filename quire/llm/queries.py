@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, license_scan, nearest, warc
+from quire.llm import byte_bpe, license_scan, minhash, nearest, warc
 from quire.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,11 +34,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates on two-word shingles."""
+    return minhash.components(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
     "op3_license": op3_license,
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
