@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, license_scan, minhash, nearest, warc
+from quire.llm import byte_bpe, license_scan, minhash, nearest, suffix_dedup, warc
 from quire.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -24,6 +24,11 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings of documents before it."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a WARC archive and back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -42,6 +47,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
     "op3_license": op3_license,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_minhash": op9_minhash,
