@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, license_scan, minhash, nearest, suffix_dedup, warc
+from quire.llm import byte_bpe, decontaminate, license_scan, minhash, nearest, suffix_dedup, url_filter, warc
 from quire.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: (verdict, host with path). Fixed values.
+RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +47,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates on two-word shingles."""
     return minhash.components(table(spark, sf_dir, "documents"), size=2, percent=80)
@@ -50,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_url_filter": op8_url_filter,
     "op9_minhash": op9_minhash,
 }
 
