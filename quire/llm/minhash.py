@@ -6,9 +6,9 @@
 3. 42 bands of 6 bins deal the nodes into buckets; a pair with a similarity of 0.8 misses all of them with a
    probability of 3 in a million.
 4. Candidates are stars: the bucket's smallest id with each other member, so pairs grow with rows, not with their squares.
-   A star alone could lose links between its leaves. Members that after this are not connected to their centre's
-   component meet up to about ``CENTRES`` members of the bucket chosen by hash, and those that are still apart then meet all
-   members of their buckets outside their own component. A pair within one component needs no test, so no connection is lost.
+   A star alone could lose links between its leaves. Where a leaf isn't connected to its centre, ``leaf_pairs`` finds
+   the pairs of leaves that can still be linked, from how they differ from the centre; a pair that is connected already
+   needs no test, so no connection is lost.
 5. Each candidate is confirmed on the full sets, and components grow by large-star and small-star steps.
 
 The texts of nodes that share a bucket are written once, in a table bucketed by id, so that no round shuffles them again.
@@ -26,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import arrowtools, words
 from quire.session import shared_dir, written
 
 BITS, BANDS, ROWS = 8, 42, 6
-CENTRES = 32
+#: Leaves of one centre that may share a shingle before it counts as the centre's.
+COMMON = 8
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -94,28 +95,36 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, texts: DataFrame, size: int, *, novel: bool = False) -> DataFrame:
+    """a, b, size_a, size_b, common on the full sets; with ``novel`` also the shingles of b that a lacks."""
     of_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    kinds = "a long, b long, size_a long, size_b long, common long" + ", novel array<long>" * novel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, np.zeros(0, np.uint64)
         for whole in batches:
             for batch in arrowtools.slices(whole, "text_b", CHUNK):
-                good = []
+                rows, more = [], []
                 starts = batch.column("text_a")
                 for k, (a, there) in enumerate(zip(batch.column("a").to_pylist(), text_sets(batch.column("text_b"), size), strict=True)):
                     if a != last:
                         last, kept = a, text_sets(starts.slice(k, 1), size)[0]
                     both = np.concatenate((kept, there))
                     both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    good.append(100 * common >= percent * (len(both) - common))
-                mask = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
+                    rows.append((len(kept), len(there), int((both[1:] == both[:-1]).sum())))
+                    if novel:
+                        more.append(np.setdiff1d(there, kept, assume_unique=True).view(np.int64))
+                made = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                if novel:
+                    made.append(pa.array(more, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], ["a", "b", "size_a", "size_b", "common", *["novel"] * novel])
 
-    return pairs.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, kinds)
+
+
+def linked(size_x: str, size_y: str, common: Column, percent: int) -> Column:
+    return common * 100 >= (F.col(size_x) + F.col(size_y) - common) * percent
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -138,6 +147,39 @@ def connected(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def leaf_pairs(stars: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """The pairs of one centre's leaves that may still be linked and aren't connected yet; none if no leaf is apart from its centre.
+
+    Let c be the centre's set with all shingles that over ``COMMON`` of its leaves have. Of two leaves x and y, either
+    both have a shingle that isn't in c, which at most ``COMMON`` leaves share, or their intersection lies in c and has at
+    most min(|x & c|, |y & c|) shingles. So a join on such shingles and a join on sizes find every pair that can reach the
+    similarity; leaves that differ from the centre each in their own way, however many, give few.
+    """
+    of_b, of_a = (groups.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("b", "own"), ("a", "main")))
+    named = stars.join(of_b, "b", "left").join(of_a, "a", "left").select("a", "b", F.coalesce("own", "b").alias("own"), F.coalesce("main", "a").alias("main"))
+    named = written(named, "leaves")
+    open_ = named.groupBy("a").agg(F.count("*").alias("n"), F.max(F.col("own") != F.col("main")).alias("apart")).where("n > 1 and apart")
+    wanted = written(named.join(open_.select("a"), "a", "left_semi"), "open")
+    if wanted.isEmpty():
+        return None
+    full = written(compared(wanted.select("a", "b"), texts, size, novel=True), "novel")
+    each = full.select("a", "b", F.explode("novel").alias("t"))
+    often = each.groupBy("a", "t").agg(F.count("*").alias("times")).where("times > 1")
+    shared = written(each.join(often, ["a", "t"]), "shared-novel")
+    in_c = shared.where(F.col("times") > COMMON).groupBy("a", "b").agg(F.count("*").alias("h"))
+    leaves = full.drop("novel", "size_a").join(in_c, ["a", "b"], "left").join(wanted, ["a", "b"])
+    leaves = written(leaves.select("a", "b", "own", "main", F.col("size_b").alias("n"), (F.col("common") + F.coalesce("h", F.lit(0))).alias("i"), F.floor(F.log(F.col("size_b").cast("double")) / F.lit(np.log(1.05))).alias("bin")), "leaves")
+    reach = int(np.ceil(np.log(100 / percent) / np.log(1.05))) + 1
+    side = lambda df, s, *columns: df.select("a", *(F.col(c).alias(f"{c}_{s}") for c in columns))
+    left = side(leaves.where("own <> main"), "x", "b", "own", "n", "i", "bin").withColumn("bin", F.explode(F.sequence(F.col("bin_x") - reach, F.col("bin_x") + reach)))
+    right = side(leaves, "y", "b", "own", "n", "i", "bin").withColumnRenamed("bin_y", "bin")
+    by_size = left.join(right, ["a", "bin"]).where((F.col("own_x") != F.col("own_y")) & linked("n_x", "n_y", F.least("i_x", "i_y"), percent))
+    rare = shared.where(F.col("times") <= COMMON).join(wanted, ["a", "b"])
+    by_shingle = side(rare.where("own <> main"), "x", "b", "own", "t").join(side(rare, "y", "b", "own", "t").withColumnRenamed("t_y", "t_x"), ["a", "t_x"]).where("own_x <> own_y")
+    pair = [F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")]
+    return written(by_size.select(*pair).unionByName(by_shingle.select(*pair)).distinct(), "leaf-pairs")
+
+
 def components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the documents that links of that similarity connect, smallest id first."""
     spark = documents.sparkSession
@@ -156,19 +198,12 @@ def components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     wanted.write.bucketBy(buckets, "doc_id").option("compression", "zstd").saveAsTable(name)
     try:
         texts = spark.table(name)
-        found = written(confirmed(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent), "links")
-        for chosen in (F.abs(F.xxhash64("node")) < F.lit(float(CENTRES)) / F.col("n") * F.lit(2.0**63), F.lit(True)):
-            groups = connected(found)
-            label = groups.withColumnRenamed("component", "own")
-            now = members.join(label, members.node == label.node, "left").select(members["*"], F.coalesce("own", members.node).alias("own"))
-            of_centre = groups.select(F.col("node").alias("centre"), F.col("component").alias("main"))
-            now = now.join(of_centre, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
-            apart = written(now.where("own <> main and n > 2").select("bucket", F.col("node").alias("x"), F.col("own").alias("x_own")), "apart")
-            if apart.isEmpty():
-                break
-            others = now.where(chosen & (F.col("n") > 2) & (F.col("node") != F.col("centre"))).select("bucket", F.col("node").alias("y"), F.col("own").alias("y_own"))
-            more = apart.join(others, "bucket").where("x_own <> y_own").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            found = written(found.unionByName(confirmed(more, texts, size, percent)), "links")
+        stars = written(compared(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), texts, size), "stars")
+        found = stars.where(linked("size_a", "size_b", F.col("common"), percent)).select("a", "b")
+        more = leaf_pairs(stars, connected(found), texts, size, percent)
+        if more is not None:
+            checked = compared(more, texts, size).where(linked("size_a", "size_b", F.col("common"), percent)).select("a", "b")
+            found = found.unionByName(written(checked, "links"))
         groups = connected(found)
         by_set = sets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
         out = sigs.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
