@@ -42,7 +42,7 @@ from quire.session import scratch, shared_dir, written
 
 LEAST, GRAM = 50, 20
 #: Bytes of text in a block, and hashed at once.
-BLOCK, CHUNK = 4 << 20, 1 << 20
+BLOCK, CHUNK = 1 << 20, 1 << 17
 #: A key that more documents have is dealt out by windows.
 HOT = 20_000
 LAST_ID = np.iinfo(np.int64).max
@@ -185,11 +185,18 @@ def _packed(df: DataFrame, name: str, text: str) -> DataFrame:
     return spark.table(name)
 
 
-def _unpack(raw: bytes) -> pa.RecordBatch:
+def _unpack(raw: pa.Buffer) -> pa.RecordBatch:
     with pa.ipc.open_stream(pa.BufferReader(raw)) as r:
         return r.read_next_batch()
 
 
+def _each(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """The rows one at a time, so that one block is in memory as Python values."""
+    found = [batch.column(c) for c in columns]
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_buffer() if n == "rows" else c[k].as_py() for n, c in zip(columns, found, strict=True))
+
+
 def _ids(batch: pa.RecordBatch, doc_id: str) -> np.ndarray:
     return np.asarray(batch.column(doc_id).cast(pa.int64()).fill_null(LAST_ID))
 
@@ -209,7 +216,7 @@ def _send_keys(blocks: DataFrame, text: str, ranges: int, least: int, gram: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "rows")), strict=True):
+            for block, raw in _each(batch, "block", "rows"):
                 data, at = arrowtools.flat_utf8(_unpack(raw).column(text))
                 keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for key, _, _, doc in segments(data, at, least, gram):
@@ -272,7 +279,7 @@ def _send_segments(blocks: DataFrame, shared: DataFrame, text: str, doc_id: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw, parts in zip(*(batch.column(c).to_pylist() for c in ("block", "rows", "parts")), strict=True):
+            for block, raw, parts in _each(batch, "block", "rows", "parts"):
                 rows = _unpack(raw)
                 data, at = arrowtools.flat_utf8(rows.column(text))
                 whole, ids = data.tobytes(), _ids(rows, doc_id)
@@ -401,7 +408,7 @@ def _finished(blocks: DataFrame, removed: DataFrame, schema: T.StructType, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, parts in zip(*(batch.column(c).to_pylist() for c in ("rows", "parts")), strict=True):
+            for raw, parts in _each(batch, "rows", "parts"):
                 rows = _unpack(raw)
                 data, at = arrowtools.flat_utf8(rows.column(text))
                 edge = np.zeros(len(data) + 1, np.int32)
