@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, decontaminate, license_scan, minhash, nearest, suffix_dedup, url_filter, warc
+from quire.llm import byte_bpe, decontaminate, license_scan, minhash, nearest, quality, suffix_dedup, url_filter, warc
 from quire.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,11 @@ RULES = (
 )
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, from weak labels alone."""
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows of each row of embeddings whose vec_id is divisible by 100."""
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
@@ -63,6 +68,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_nearest": op2_nearest,
     "op3_license": op3_license,
     "op4_suffix_dedup": op4_suffix_dedup,
