@@ -4,7 +4,7 @@ Words are runs of characters other than space and ASCII control white space, in
 (all of them, for an item with fewer), known by 64-bit hashes.
 
 1. A window has an item's number of words and lies where a shingle of that item stands at the item's own offset; a
-   window that shares no shingle with an item has a similarity of 0. Windows are made row by row: nothing is shuffled.
+   window that shares no shingle with an item has a similarity of 0.
 2. Each window and each item has a SimHash over its shingles, weighted by their counts. The 64 bits are cut into
    RADIUS + 1 blocks: two fingerprints within RADIUS agree in one of them at least, so a join on (words, block, bits)
    meets all of them. At a similarity of 0.8 fingerprints differ by 10 bits on average (standard deviation 3).
@@ -25,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import shared_dir, written
+
 WORDS, PERCENT, RADIUS = 5, 80, 23
 #: Shingles of items that are broadcast at once (about 100 bytes each).
 MOST_BROADCAST = 500_000
@@ -68,32 +70,49 @@ def common(a: Column, b: Column) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    words = benchmark.select("item_id", hashed_words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    return words.select("item_id", "words", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(WORDS)).alias("size"))
-
-
-def _matches(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """The matches of items whose shingles have ``size`` words."""
-    items = items.where(F.col("size") == size).select("item_id", "n_words", shingled(F.col("words"), size).alias("there"))
+    """item_id, n_words, size, there: an item's shingles of ``size`` words. Written, so that no lambda builds them again."""
+    words = benchmark.select("item_id", hashed_words(F.col("text")).alias("words"))
+    words = written(words.where(F.size("words") > 0), "items")
+    sized = words.select("item_id", "words", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(WORDS)).alias("size"))
+    several = F.when(F.col("size") == WORDS, shingled(F.col("words"), WORDS))
+    for k in range(1, WORDS):
+        several = several.when(F.col("size") == k, shingled(F.col("words"), k))
+    return written(sized.select("item_id", "n_words", "size", several.alias("there")), "items")
+
+
+def _windows(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """doc_id, start, n_words, window: the windows that share a shingle with an item at the item's offset."""
     anchors = items.select("n_words", "there", F.posexplode_outer("there").alias("item_pos", "shingle")).select(
         "n_words", "item_pos", "shingle", F.when(F.col("item_pos") > 0, F.get("there", F.col("item_pos") - 1)).alias("shingle_before")
     ).distinct()
-    words = documents.select("doc_id", hashed_words(F.col("text")).alias("words"))
+    named = documents.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    words = named.select("doc_id", "row", hashed_words(F.col("text")).alias("words"))
     # explode would have its array built twice, within a filter on its size too; explode_outer has not
-    runs = words.select("doc_id", shingled(F.col("words"), size).alias("here")).select("doc_id", "here", F.posexplode_outer("here").alias("pos", "shingle"))
+    runs = words.select("doc_id", "row", F.size("words").alias("n"), shingled(F.col("words"), size).alias("here")).select("doc_id", "row", "n", F.posexplode_outer("here").alias("pos", "shingle"))
     met = runs.join(F.broadcast(anchors), "shingle")
-    # of neighbouring shingles that meet at one offset, the first is enough
-    met = met.where(F.col("shingle_before").isNull() | (F.col("pos") == 0) | (F.get("here", F.col("pos") - 1) != F.col("shingle_before")))
-    start = F.col("pos") - F.col("item_pos")
-    n = F.least(F.size("here"), start + F.col("n_words") - (size - 1)) - F.greatest(start, F.lit(0))
-    windows = met.select("doc_id", start.alias("start"), "n_words", F.slice("here", F.greatest(start, F.lit(0)) + 1, n).alias("window"))
-    windows = windows.withColumn("print", simhash(F.col("window")))
+    places = met.select("doc_id", "row", (F.col("pos") - F.col("item_pos")).alias("start"), "n_words").distinct()
+    places = written(places.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n_words")).alias("places")), "places")
+    both = named.join(places.withColumnRenamed("doc_id", "own").withColumnRenamed("row", "own_row"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("row") == F.col("own_row")))
+    words = both.select("doc_id", "places", hashed_words(F.col("text")).alias("words"))
+    here = words.select("doc_id", "places", shingled(F.col("words"), size).alias("here"))
+    first = lambda p: F.greatest(p["start"], F.lit(0))
+    cut = lambda p: F.slice("here", first(p) + 1, F.least(F.size("here"), p["start"] + p["n_words"] - (size - 1)) - first(p))
+    cuts = here.select("doc_id", F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_words"].alias("n_words"), cut(p).alias("window"))).alias("cuts"))
+    return cuts.select("doc_id", F.inline_outer("cuts")).where("start is not null")
+
+
+def _matches(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """The matches of items whose shingles have ``size`` words."""
+    items = items.where(F.col("size") == size)
+    windows = written(_windows(documents, items, size), "windows")
+    windows = written(windows.withColumn("print", simhash(F.col("window"))), "windows")
+    items = written(items.withColumn("item_print", simhash(F.col("there"))), "items")
     keyed = lambda df, name: df.select("*", F.posexplode_outer(F.array(*(F.col(name).bitwiseAND(F.lit(m)) for m in MASKS))).alias("block", "bits"))
-    index = keyed(items.withColumn("item_print", simhash(F.col("there"))), "item_print")
-    near = keyed(windows, "print").join(F.broadcast(index), ["n_words", "block", "bits"])
+    near = keyed(windows, "print").join(F.broadcast(keyed(items, "item_print")), ["n_words", "block", "bits"])
     differ = F.col("print").bitwiseXOR(F.col("item_print"))
     # a pair that agrees in several blocks counts in the first
-    sooner = reduce(lambda a, k: a | ((F.col("block") > k) & (differ.bitwiseAND(F.lit(MASKS[k])) == 0)), range(RADIUS + 1), F.lit(False))
+    blocks = F.array(*(F.lit(m) for m in MASKS))
+    sooner = F.exists(F.slice(blocks, F.lit(1), F.col("block")), lambda m: differ.bitwiseAND(m) == 0)
     near = near.where((F.bit_count(differ) <= RADIUS) & ~sooner)
     near = near.select("doc_id", "item_id", "start", common(F.col("there"), F.col("window")).alias("both"), (F.size("there") + F.size("window")).alias("sizes"))
     return near.where(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * PERCENT)
@@ -101,12 +120,13 @@ def _matches(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start: each item that a document holds, with its best window (its first word's position, from 0)."""
+    shared_dir(documents.sparkSession)
     items = _items(benchmark)
-    sizes = items.groupBy("size").agg(F.sum(F.greatest(F.col("n_words") - F.lit(WORDS - 1), F.lit(1))).alias("n")).collect()  # five rows at most
+    sizes = items.groupBy("size").agg(F.sum(F.size("there")).alias("n")).collect()  # five rows at most
     found = []
     for size, n in sorted((r["size"], r["n"]) for r in sizes) or [(WORDS, 0)]:
         parts = 1 + n // MOST_BROADCAST
-        part = F.pmod(F.xxhash64("item_id", "words"), F.lit(parts))
+        part = F.pmod(F.xxhash64("item_id", "there"), F.lit(parts))
         found += [_matches(documents, items.where(part == k) if parts > 1 else items, size) for k in range(parts)]
     best = F.struct((F.col("both") / (F.col("sizes") - F.col("both"))).alias("similarity"), (-F.col("start")).alias("start"))
     found = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
