@@ -43,6 +43,8 @@ from quire.session import scratch, shared_dir, written
 LEAST, GRAM = 50, 20
 #: Bytes of text in a block, and hashed at once.
 BLOCK, CHUNK = 1 << 20, 1 << 17
+#: Windows of a segment at most.
+WINDOWS = 64
 #: A key that more documents have is dealt out by windows.
 HOT = 20_000
 LAST_ID = np.iinfo(np.int64).max
@@ -102,7 +104,13 @@ def segments(data: np.ndarray, at: np.ndarray, least: int, gram: int) -> Iterato
             new[0] = True
             new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
             runs = np.flatnonzero(new)
-            yield value[runs], start[runs] + at[a], np.diff(np.append(runs, len(value))), doc[runs] + a
+            # a text that repeats itself has runs without end: they are cut, so contents stay short
+            size = np.diff(np.append(runs, len(value)))
+            parts = -(-size // WINDOWS)
+            step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * WINDOWS
+            runs, size = np.repeat(runs, parts), np.minimum(np.repeat(size, parts) - step, WINDOWS)
+            # minima crowd at the low end of the key space, so they are mixed once more
+            yield mix(value[runs]), start[runs] + at[a] + step, size, doc[runs] + a
         a = b
 
 
