@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, decontaminate, license_scan, minhash, nearest, quality, suffix_dedup, url_filter, warc
+from quire.llm import byte_bpe, decontaminate, license_scan, minhash, nearest, quality, suffix_dedup, toxicity, url_filter, warc
 from quire.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -67,6 +67,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labelled rows that aren't held out."""
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_nearest": op2_nearest,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op9_minhash": op9_minhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -51,13 +51,18 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Words:
-    """The words of the texts that lie one after the other in ``data``, text i from at[i] to at[i+1]."""
+def words(data: np.ndarray, at: np.ndarray, gap: np.ndarray = _SPACE, heads: tuple[int, ...] = ()) -> Words | tuple[Words, list[np.ndarray]]:
+    """The words of the texts that lie one after the other in ``data``, text i from at[i] to at[i+1].
+
+    ``gap`` tells of each byte whether it parts words. With ``heads`` also the hashes of each word's first so many
+    bytes (of the whole word, if it is shorter).
+    """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), none, none, none, np.zeros(len(at), np.int64))
-    solid = ~_SPACE[data]
+        nothing = Words(np.zeros(0, np.uint64), none, none, none, np.zeros(len(at), np.int64))
+        return (nothing, [np.zeros(0, np.uint64) for _ in heads]) if heads else nothing
+    solid = ~gap[data]
     fresh = np.zeros(n + 1, bool)
     fresh[at] = True
     before = np.empty(n, bool)
@@ -74,7 +79,10 @@ def words(data: np.ndarray, at: np.ndarray) -> Words:
     hashed = mix((total[end] - total[start]) * inverse[start])
     first = np.searchsorted(start, at)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    return Words(hashed, start, end, doc, first)
+    found = Words(hashed, start, end, doc, first)
+    if not heads:
+        return found
+    return found, [mix((total[np.minimum(start + k, end)] - total[start]) * inverse[start] + np.uint64(k)) for k in heads]
 
 
 def word_hash(word: str) -> int:
