@@ -16,7 +16,7 @@ from quire.functions import analysis
 
 @dataclass(frozen=True)
 class Collection:
-    """docs(docnum, text), postings(term, docnum, f_dt), lexicon(term, f_t, F_t), weights(docnum, w), meta(n_docs, n_words, n_bytes)."""
+    """docs(docnum, text), postings(term, docnum, f_dt), lexicon(term, f_t, cf_t), weights(docnum, w), meta(n_docs, n_words, n_bytes)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -67,8 +67,8 @@ def postings(docs: DataFrame, *, fold: bool = True, markup: bool = False) -> Dat
 
 
 def lexicon(posted: DataFrame) -> DataFrame:
-    """term, f_t (documents), F_t (occurrences)."""
-    return posted.groupBy("term").agg(F.count("*").alias("f_t"), F.sum("f_dt").alias("F_t"))
+    """term, f_t (documents), cf_t (occurrences)."""
+    return posted.groupBy("term").agg(F.count("*").alias("f_t"), F.sum("f_dt").alias("cf_t"))
 
 
 def weights(posted: DataFrame, words: DataFrame, n_docs: int) -> DataFrame:
@@ -80,7 +80,7 @@ def weights(posted: DataFrame, words: DataFrame, n_docs: int) -> DataFrame:
 def statistics(docs: DataFrame, words: DataFrame) -> DataFrame:
     """One row: n_docs, n_bytes, longest, n_words, n_terms."""
     of_docs = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).cast("long").alias("longest"), F.lit(1).alias("one"))
-    of_words = words.agg(F.coalesce(F.sum("F_t"), F.lit(0)).cast("long").alias("n_words"), F.count("*").alias("n_terms"), F.lit(1).alias("one"))
+    of_words = words.agg(F.coalesce(F.sum("cf_t"), F.lit(0)).cast("long").alias("n_words"), F.count("*").alias("n_terms"), F.lit(1).alias("one"))
     return of_docs.join(of_words, "one").drop("one")  # one row a side
 
 

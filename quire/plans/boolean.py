@@ -186,7 +186,7 @@ def matches_by_joins(c: Collection, query: str | Node) -> DataFrame:
 
 
 def weighted(c: Collection, query: str) -> DataFrame:
-    """docnum, weight: a term weighs words / (100 * log2(F_t + 1)); a conjunction has its rarest term's weight, a union the sum."""
+    """docnum, weight: a term weighs words / (100 * log2(cf_t + 1)); a conjunction has its rarest term's weight, a union the sum."""
     tree = simplified(parse(query, fold=c.fold))
     found = tree.terms()
     words = {r["term"]: r for r in c.lexicon.where(F.col("term").isin(found)).collect()}  # a row a query term
@@ -196,7 +196,7 @@ def weighted(c: Collection, query: str) -> DataFrame:
 
     def weight(node: Node) -> Column:
         if node.kind == "term":
-            w = F.lit(float(n_words)) / (F.lit(100.0) * F.log2(F.lit(float(words[node.term]["F_t"] + 1)))) if node.term in words else F.lit(0.0)
+            w = F.lit(float(n_words)) / (F.lit(100.0) * F.log2(F.lit(float(words[node.term]["cf_t"] + 1)))) if node.term in words else F.lit(0.0)
             return F.when(flag[node.term], w).otherwise(F.lit(0.0))
         if node.kind == "and":
             return weight(min((p for p in node.parts if p.kind != "not"), key=rarity, default=Node("none")))

@@ -14,10 +14,10 @@ from quire.operators.index import Collection
 
 
 def query_terms(c: Collection, query: str, *, most: int | None = None, by_rarity: bool = True, counts: bool = True) -> list[tuple[str, int, int, int]]:
-    """(term, f_qt, f_t, F_t) of the query's terms that the lexicon has, rarest first, the first ``most``."""
+    """(term, f_qt, f_t, cf_t) of the query's terms that the lexicon has, rarest first, the first ``most``."""
     found = Counter(t.lower() if c.fold else t for t in re.findall(analysis.TERM, query))
     rows = {r["term"]: r for r in c.lexicon.where(F.col("term").isin(list(found))).collect()}  # a row a query term
-    out = [(t, n if counts else 1, rows[t]["f_t"], rows[t]["F_t"]) for t, n in found.items() if t in rows]
+    out = [(t, n if counts else 1, rows[t]["f_t"], rows[t]["cf_t"]) for t, n in found.items() if t in rows]
     if by_rarity:
         out.sort(key=lambda x: x[2])  # equally rare terms keep the query's order
     return out[:most]
@@ -30,10 +30,10 @@ def scores(c: Collection, chosen: list[tuple[str, int, int, int]], weights: Data
     """
     spark = c.docs.sparkSession
     n = c.meta.select("n_docs").first()["n_docs"]
-    terms = spark.createDataFrame(chosen, "term string, f_qt long, f_t long, F_t long")
+    terms = spark.createDataFrame(chosen, "term string, f_qt long, f_t long, cf_t long")
     hits = c.postings.where(F.col("term").isin([t[0] for t in chosen])).join(F.broadcast(terms), "term")
     idf = F.log(F.lit(float(n)) / F.col("f_t"))
-    f_dt = F.floor(F.col("F_t") / F.col("f_t")) if level == 1 else F.col("f_dt")
+    f_dt = F.floor(F.col("cf_t") / F.col("f_t")) if level == 1 else F.col("f_dt")
     total = hits.groupBy("docnum").agg(F.sum(F.col("f_qt") * idf * f_dt * idf).alias("total"))
     if level == 1:
         return total.where("total > 0").select("docnum", F.col("total").alias("score"))
@@ -41,8 +41,8 @@ def scores(c: Collection, chosen: list[tuple[str, int, int, int]], weights: Data
 
 
 def top(found: DataFrame, k: int | None) -> DataFrame:
-    """The best k, ties to the smaller docnum; the sort and the limit are one operator."""
-    out = found.orderBy(F.desc("score"), "docnum")
+    """The best k, ties (to nine places) to the smaller docnum; the sort and the limit are one operator."""
+    out = found.orderBy(F.desc(F.round("score", 9)), "docnum")
     return out if k is None else out.limit(k)
 
 
@@ -82,7 +82,7 @@ def by_paragraph(docs: DataFrame, query: str, *, mark: str = "\n", most_paragrap
     parts = docs.select("docnum", F.posexplode_outer(analysis.paragraphs(F.col("text"), mark)).alias("paragraph", "text")).where("text is not null")
     units = parts.select((F.col("docnum") * F.lit(1 << 24) + F.col("paragraph")).alias("docnum"), "text")
     found = ranked(index.build(units), query, most_paragraphs)
-    best = Window.partitionBy("doc").orderBy(F.desc("score"), "docnum")
+    best = Window.partitionBy("doc").orderBy(F.desc(F.round("score", 9)), "docnum")
     out = found.withColumn("doc", F.floor(F.col("docnum") / F.lit(1 << 24))).withColumn("r", F.row_number().over(best)).where("r = 1")
     return top(out.select(F.col("doc").alias("docnum"), (F.col("docnum") % F.lit(1 << 24)).cast("int").alias("paragraph"), "score"), k)
 
