@@ -23,12 +23,14 @@ from quire.llm import arrowtools
 from quire.llm.words import mix, word_hash, words
 
 #: Documents of the sample that trains the scorer; longer texts than SAMPLE_BYTES aren't in it.
-SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 14
 LABELLERS = 8
 ABSTAIN, GOOD, BAD = 0, 1, 2
 TABLE_BITS = 16
 #: Features without weight that each text is held to have besides its own: a short text says little and stays near the bias.
 SHRINK = 48
+#: A document with a lower score is rejected: one must be four times as likely bad as good to go.
+LEAST = 0.2
 CHUNK = 4 << 20
 
 #: Frequent words of four languages. Fixed values.
@@ -90,7 +92,7 @@ def votes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     vote(1, n_bytes >= 20, nothing, symbols > 0.04)
     vote(2, n >= 8, nothing, again_share > 0.2)
     vote(3, n >= 30, rich > 0.4, rich < 0.2)
-    vote(4, n >= 12, stop > 0.15, stop < 0.04)
+    vote(4, n >= 25, stop > 0.15, stop < 0.04)
     vote(5, n >= 8, nothing, pipes > 0.1)
     vote(6, n >= 30, (ends > 0.02) & (ends < 0.35), (ends < 0.005) | (ends > 0.6))
     vote(7, n >= 8, nothing, calls > 0.2)
@@ -147,7 +149,7 @@ def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     again = np.zeros(len(w.hash), np.uint64)
     again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
     form = np.minimum(w.end - w.start, 15).astype(np.uint64) * 64 + _CLASS[data[w.end - 1]] * 4 + again * 2 + _UPPER[data[w.end - 1]] if len(w.hash) else np.zeros(0, np.uint64)
-    return [(grams.astype(np.int64), first), ((mix(form + np.uint64(7)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), w.first)]
+    return [(grams.astype(np.int32), first), ((mix(form + np.uint64(7)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32), w.first)]
 
 
 class Scorer:
@@ -167,22 +169,16 @@ class Scorer:
     def fit(self, found: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 60, rate: float = 0.3) -> None:
         """Adam on the cross entropy with the posteriors as targets."""
         n = max(len(target), 1)
-        state = [np.zeros_like(self.weights), np.zeros_like(self.weights), 0.0, 0.0]
-        share = [np.repeat(1 / (np.diff(first) + SHRINK), np.diff(first)) for _, first in found]
-        owner = [np.repeat(np.arange(n), np.diff(first)) for _, first in found]
+        even = float(np.clip(target.mean(), 0.02, 0.98)) if len(target) else 0.5
+        self.bias = np.log(even / (1 - even))  # what a text without features is held to be
+        state = [np.zeros_like(self.weights), np.zeros_like(self.weights)]
         for t in range(1, rounds + 1):
             error = (1 / (1 + np.exp(-np.clip(self.margins(found), -30, 30))) - target) / n
-            grad = np.array([np.bincount(ids, weights=error[o] * s, minlength=1 << TABLE_BITS) for (ids, _), o, s in zip(found, owner, share, strict=True)])
+            grad = np.array([np.bincount(ids, weights=np.repeat(error / (np.diff(first) + SHRINK), np.diff(first)), minlength=1 << TABLE_BITS) for ids, first in found])
             grad += 1e-7 * self.weights
-            for k, g in ((0, grad), (2, error.sum())):
-                if k == 0:
-                    state[0] = 0.9 * state[0] + 0.1 * g
-                    state[1] = 0.99 * state[1] + 0.01 * g * g
-                    self.weights -= rate * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-12)
-                else:
-                    state[2] = 0.9 * state[2] + 0.1 * g
-                    state[3] = 0.99 * state[3] + 0.01 * g * g
-                    self.bias -= 0.1 * rate * (state[2] / (1 - 0.9**t)) / (np.sqrt(state[3] / (1 - 0.99**t)) + 1e-12)
+            state[0] = 0.9 * state[0] + 0.1 * grad
+            state[1] = 0.99 * state[1] + 0.01 * grad * grad
+            self.weights -= rate * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-12)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(features(*arrowtools.flat_utf8(column))), -30, 30)))
@@ -226,13 +222,13 @@ def scored(documents: DataFrame, scorer: Scorer, score: str = "score") -> DataFr
     return documents.mapInArrow(run, kinds)
 
 
-def judged(documents: DataFrame, *, least: float = 0.5) -> DataFrame:
+def judged(documents: DataFrame, *, least: float = LEAST) -> DataFrame:
     """doc_id, score, keep of every document."""
     thin = documents.select("doc_id", "text")
     return scored(thin, trained(thin)).select("doc_id", "score", (F.col("score") >= least).alias("keep"))
 
 
-def accepted(documents: DataFrame, *, least: float = 0.5) -> DataFrame:
+def accepted(documents: DataFrame, *, least: float = LEAST) -> DataFrame:
     """The documents that the scorer doesn't reject, with their columns."""
     name = "_quality"
     return scored(documents, trained(documents), name).where(F.col(name) >= least).drop(name)
