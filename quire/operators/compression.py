@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,49 +19,81 @@ _WORD = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwx
 _DIGIT = frozenset(b"0123456789")
 
 
-def token_list(raw: bytes) -> list[tuple[int, bytes]]:
-    """(kind, token): words (1) and what is between them (0) in turn, each up to LONGEST bytes; where two of a kind would follow, an empty one of the other stands between."""
-    out: list[tuple[int, bytes]] = []
-    at, kind = 0, int(bool(raw) and raw[0] in _WORD)
-    while at < len(raw):
+_RUN = re.compile(rb"[0-9A-Za-z]+|[^0-9A-Za-z]+")
+_MANY_DIGITS = re.compile(rb"(?:[^0-9]*[0-9]){%d}" % (DIGITS + 1))
+
+
+def _pieces(run: bytes, kind: int) -> list[bytes]:
+    """A run of one kind in tokens."""
+    out, at = [], 0
+    while at < len(run):
         end, digits = at, 0
-        while end < len(raw) and end - at < LONGEST and (raw[end] in _WORD) == bool(kind):
-            if raw[end] in _DIGIT:
+        while end < len(run) and end - at < LONGEST:
+            if kind and run[end] in _DIGIT:
                 if digits == DIGITS:
                     break
                 digits += 1
             end += 1
-        out.append((kind, raw[at:end]))
-        at, kind = end, 1 - kind
+        out.append(run[at:end])
+        at = end
+    return out
+
+
+def token_list(raw: bytes) -> list[tuple[int, bytes]]:
+    """(kind, token): words (1) and what is between them (0) in turn, each up to LONGEST bytes; where two of a kind would follow, an empty one of the other stands between."""
+    out: list[tuple[int, bytes]] = []
+    for run in _RUN.findall(raw):
+        kind = int(run[0] in _WORD)
+        if len(run) <= LONGEST and not (kind and len(run) > DIGITS and _MANY_DIGITS.match(run)):
+            out.append((kind, run))
+            continue
+        for k, piece in enumerate(_pieces(run, kind)):
+            if k:
+                out.append((1 - kind, b""))
+            out.append((kind, piece))
     return out
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """docnum, pos, kind, tok (binary): each text's compression tokens."""
+def token_statistics(docs: DataFrame) -> DataFrame:
+    """kind, tok (binary), freq, first_doc, first_pos of the documents' tokens: frequency and first occurrence.
+
+    Tokens are counted where their texts are, so what is shuffled grows with vocabularies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: dict[tuple[int, bytes], list[int]] = {}
             for docnum, text in zip(batch.column("docnum").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = token_list((text or "").encode())
-                if found:
-                    yield pa.RecordBatch.from_pydict(
-                        {"docnum": pa.array([docnum] * len(found), pa.int64()), "pos": pa.array(range(len(found)), pa.int32()), "kind": pa.array([k for k, _ in found], pa.int32()), "tok": pa.array([t for _, t in found], pa.binary())}
-                    )
-
-    return docs.select(F.col("docnum").cast("long").alias("docnum"), "text").mapInArrow(run, "docnum long, pos int, kind int, tok binary")
-
-
-def token_statistics(found: DataFrame) -> DataFrame:
-    """kind, tok, freq, first_doc, first_pos: frequency and first occurrence."""
-    first = F.min(F.struct("docnum", "pos"))
-    return found.groupBy("kind", "tok").agg(F.count("*").alias("freq"), first.alias("first")).select("kind", "tok", "freq", F.col("first.docnum").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+                for pos, token in enumerate(token_list((text or "").encode())):
+                    got = seen.get(token)
+                    if got is None:
+                        seen[token] = [1, docnum, pos]
+                    else:
+                        got[0] += 1
+                        if docnum < got[1]:
+                            got[1:] = docnum, pos
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "kind": pa.array([k for k, _ in seen], pa.int32()), "tok": pa.array([t for _, t in seen], pa.binary()),
+                    **{n: pa.array([v[j] for v in seen.values()], pa.int64()) for j, n in enumerate(("freq", "first_doc", "first_pos"))},
+                }
+            )
+
+    parts = docs.select(F.col("docnum").cast("long").alias("docnum"), "text").mapInArrow(run, "kind int, tok binary, freq long, first_doc long, first_pos long")
+    first = F.min(F.struct("first_doc", "first_pos"))
+    return parts.groupBy("kind", "tok").agg(F.sum("freq").alias("freq"), first.alias("first")).select("kind", "tok", "freq", "first.first_doc", "first.first_pos")
 
 
 def dictionary(stats: DataFrame, kilobytes: int, *, by: str = "frequency", pointer: int = 8) -> DataFrame:
-    """The tokens that fit: taken by frequency (then length) or by first occurrence, up to the one that crosses the limit."""
+    """The tokens that fit: taken by frequency (then length) or by first occurrence, up to the one that crosses the limit.
+
+    A token takes at least its pointer, so only so many can fit; the running sum goes over those alone.
+    """
     order = [F.desc("freq"), F.octet_length("tok"), "tok"] if by == "frequency" else ["first_doc", "first_pos"]
+    most = kilobytes * 1024 // pointer + 1
+    first = reduce(DataFrame.unionByName, (stats.where(F.col("kind") == k).orderBy(*order).limit(most) for k in (0, 1)))
     before = F.sum(F.octet_length("tok") + pointer).over(Window.partitionBy("kind").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return stats.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < kilobytes * 1024).drop("before")
+    return first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < kilobytes * 1024).drop("before")
 
 
 def code_lengths(frequencies: dict) -> dict:

@@ -413,13 +413,13 @@ def merge_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(None)
 def comp_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies and first occurrences of compression tokens."""
-    return compression.token_statistics(compression.tokens(documents(spark, sf_dir)))
+    return compression.token_statistics(documents(spark, sf_dir))
 
 
 @_query(None)
 def dict_select_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 64 KB dictionary of the most frequent tokens."""
-    return compression.dictionary(compression.token_statistics(compression.tokens(documents(spark, sf_dir))), 64)
+    return compression.dictionary(compression.token_statistics(documents(spark, sf_dir)), 64)
 
 
 @_query("SELECT (doc_id // 100)::BIGINT AS chunk, count(*) AS n_docs, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY ALL")

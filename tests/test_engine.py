@@ -172,6 +172,26 @@ def test_compression(spark):
     assert lengths == {"a": 1, "b": 2, "c": 3, "d": 3}
 
 
+def test_token_statistics(spark, docs):
+    seen = Counter()
+    first = {}
+    for k, t in enumerate(TEXTS, 1):
+        for pos, token in enumerate(compression.token_list((t or "").encode())):
+            seen[token] += 1
+            first.setdefault(token, (k, pos))
+    stats = compression.token_statistics(docs)
+    assert {(r["kind"], bytes(r["tok"])): (r["freq"], r["first_doc"], r["first_pos"]) for r in stats.collect()} == {t: (n, *first[t]) for t, n in seen.items()}
+    assert compression.token_list(b"12345 " + b"a" * 16) == [(1, b"1234"), (0, b""), (1, b"5"), (0, b" "), (1, b"a" * 15), (0, b""), (1, b"a")]
+    for by, key in (("frequency", lambda t: (-seen[t], len(t[1]), t[1])), ("first", lambda t: first[t])):
+        want, used = set(), Counter()
+        for t in sorted(seen, key=key):
+            if used[t[0]] < 1024:
+                want.add(t)
+            used[t[0]] += len(t[1]) + 300
+        got = compression.dictionary(stats, 1, by=by, pointer=300)
+        assert {(r["kind"], bytes(r["tok"])) for r in got.collect()} == want
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.txt").write_text("one\n\n \ntwo\n")
