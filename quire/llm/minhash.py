@@ -188,7 +188,7 @@ def components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     sets = sigs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     nodes = sigs.where("doc_id is not null").join(sets.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).select("set_key", F.col("doc_id").alias("node"), "bands").dropDuplicates(["set_key"])
     # a node that repeats with another text keeps links to either under one id
-    dealt = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
+    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     members = written(dealt.join(shared, "bucket"), "members")
     ids = members.select(F.col("node").alias("doc_id")).distinct()
