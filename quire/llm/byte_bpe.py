@@ -22,9 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm import arrowtools
+
 MOST_RANK_BYTES = 64 << 20
 #: Characters after which a long text may be cut.
 PIECE = 1 << 16
+#: Bytes of texts or ids that are Python values at once; a longer value is alone.
+CHUNK = 1 << 21
 
 _CUT = re.compile(r"(?<=[A-Za-z0-9]) ")
 _encodings: dict = {}
@@ -85,7 +89,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in arrowtools.slices(whole, text, CHUNK)):
             made = pa.array([encode_text(enc, t).tobytes() if t else b"" for t in batch.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([made if n == ids else batch.column(n) for n in names], names)
 
@@ -100,7 +104,7 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, *, ids: str = "ids", decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in arrowtools.slices(whole, ids, CHUNK)):
             made = pa.array([enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([made if n == decoded else batch.column(n) for n in names], names)
 
