@@ -3,8 +3,9 @@
 Words are runs of characters other than space and ASCII control white space, in lower case; shingles are five of them
 (all of them, for an item with fewer), known by 64-bit hashes.
 
-1. A window has an item's number of words and lies where a shingle of that item stands at the item's own offset; a
-   window that shares no shingle with an item has a similarity of 0.
+1. A window has an item's number of words and starts anywhere. To be similar enough it must hold at least PERCENT in a
+   hundred of an item's shingles, at whatever offsets, so starts with fewer positions that hold a shingle of an item with as
+   many words are left out: an exact necessary condition, counted over the positions that meet an item's shingle.
 2. Each window and each item has a SimHash over its shingles, weighted by their counts. The 64 bits are cut into
    RADIUS + 1 blocks: two fingerprints within RADIUS agree in one of them at least, so a join on (words, block, bits)
    meets all of them. At a similarity of 0.8 fingerprints differ by 10 bits on average (standard deviation 3).
@@ -66,7 +67,10 @@ def simhash(shingles: Column) -> Column:
 def common(a: Column, b: Column) -> Column:
     """Summed smaller counts of two bags."""
     count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    both = F.array_intersect(a, b)
+    # where no shingle repeats in one of them, each that both hold counts once
+    single = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    return F.when(single, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x))))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -80,25 +84,35 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return written(sized.select("item_id", "n_words", "size", several.alias("there")), "items")
 
 
+def _starts(met: Column, n_words: Column, size: int) -> Column:
+    """array<struct<first, last>>: the runs of starts whose window has enough of the sorted positions ``met``."""
+    n_shingles = n_words - (size - 1)
+    need = F.ceil(n_shingles * PERCENT / 100).cast("int")
+    # starts after the position before p that reach from p to the need-th position have p as their first
+    reach = lambda k: F.get(met, k + need - 1) - (n_shingles - 1)
+    after = lambda k: F.when(k > 0, F.greatest(F.get(met, k - 1) + 1, reach(k))).otherwise(reach(k))
+    runs = F.transform(met, lambda p, k: F.struct(after(k).alias("first"), p.alias("last"), (k + need).alias("used")))
+    return F.filter(runs, lambda r: (r["used"] <= F.size(met)) & (r["first"] <= r["last"]))
+
+
 def _windows(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """doc_id, start, n_words, window: the windows that share a shingle with an item at the item's offset."""
-    anchors = items.select("n_words", "there", F.posexplode_outer("there").alias("item_pos", "shingle")).select(
-        "n_words", "item_pos", "shingle", F.when(F.col("item_pos") > 0, F.get("there", F.col("item_pos") - 1)).alias("shingle_before")
-    ).distinct()
+    """doc_id, start, n_words, window: the windows that hold enough shingles of items with as many words, at any offset."""
+    anchors = items.select("n_words", F.explode_outer("there").alias("shingle")).distinct()
     named = documents.select("doc_id", F.xxhash64("text").alias("row"), "text")
     words = named.select("doc_id", "row", hashed_words(F.col("text")).alias("words"))
     # explode would have its array built twice, within a filter on its size too; explode_outer has not
-    runs = words.select("doc_id", "row", F.size("words").alias("n"), shingled(F.col("words"), size).alias("here")).select("doc_id", "row", "n", F.posexplode_outer("here").alias("pos", "shingle"))
-    met = runs.join(F.broadcast(anchors), "shingle")
-    places = met.select("doc_id", "row", (F.col("pos") - F.col("item_pos")).alias("start"), "n_words").distinct()
-    places = written(places.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n_words")).alias("places")), "places")
+    runs = words.select("doc_id", "row", shingled(F.col("words"), size).alias("here")).select("doc_id", "row", F.posexplode_outer("here").alias("pos", "shingle"))
+    met = runs.join(F.broadcast(anchors), "shingle").groupBy("doc_id", "row", "n_words").agg(F.array_sort(F.collect_set("pos")).alias("met"))
+    met = written(met, "met")  # else the lambdas sort it again at each position
+    starts = met.select("doc_id", "row", "n_words", F.inline(_starts(F.col("met"), F.col("n_words"), size)))
+    places = written(starts.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "n_words")).alias("places")), "places")
     both = named.join(places.withColumnRenamed("doc_id", "own").withColumnRenamed("row", "own_row"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("row") == F.col("own_row")))
     words = both.select("doc_id", "places", hashed_words(F.col("text")).alias("words"))
-    here = words.select("doc_id", "places", shingled(F.col("words"), size).alias("here"))
-    first = lambda p: F.greatest(p["start"], F.lit(0))
-    cut = lambda p: F.slice("here", first(p) + 1, F.least(F.size("here"), p["start"] + p["n_words"] - (size - 1)) - first(p))
-    cuts = here.select("doc_id", F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_words"].alias("n_words"), cut(p).alias("window"))).alias("cuts"))
-    return cuts.select("doc_id", F.inline_outer("cuts")).where("start is not null")
+    here = written(words.select("doc_id", "places", shingled(F.col("words"), size).alias("here")), "here")
+    each = here.select("doc_id", "here", F.inline_outer("places")).select("doc_id", "here", "n_words", F.explode_outer(F.sequence("first", "last")).alias("start"))
+    first = F.greatest("start", F.lit(0))
+    cut = F.slice("here", first + 1, F.least(F.size("here"), F.col("start") + F.col("n_words") - (size - 1)) - first)
+    return each.select("doc_id", "start", "n_words", cut.alias("window"))
 
 
 def _matches(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
@@ -114,7 +128,8 @@ def _matches(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
     blocks = F.array(*(F.lit(m) for m in MASKS))
     sooner = F.exists(F.slice(blocks, F.lit(1), F.col("block")), lambda m: differ.bitwiseAND(m) == 0)
     near = near.where((F.bit_count(differ) <= RADIUS) & ~sooner)
-    near = near.select("doc_id", "item_id", "start", common(F.col("there"), F.col("window")).alias("both"), (F.size("there") + F.size("window")).alias("sizes"))
+    # written, so that the filter doesn't compare the bags again
+    near = written(near.select("doc_id", "item_id", "start", common(F.col("there"), F.col("window")).alias("both"), (F.size("there") + F.size("window")).alias("sizes")), "near")
     return near.where(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * PERCENT)
 
 

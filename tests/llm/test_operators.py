@@ -272,6 +272,38 @@ def test_decontaminate(spark, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(frame(spark, table), bench.where("false")).count() == 0
 
 
+def test_decontaminate_at_any_offset(spark):
+    """Items with their parts swapped, rotated or cut apart: no shingle stands at the item's own offset in the best window."""
+    rng = random.Random(12)
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(n))) for k, n in enumerate([45, 59, 45, 59, 100, 12])]
+    texts = []
+    for k, (_, x) in enumerate(items):
+        p, pre = x.split(), [f"f{k}y{j}" for j in range(15)]
+        for at in (len(p) // 2, len(p) // 3, 1):
+            texts.append(" ".join([*pre, *p[at:], *p[:at], *pre]))
+        texts.append(" ".join([*p[len(p) // 2 :], *p[: len(p) // 2]]))
+        texts.append(" ".join([*p, *pre, *p, *p[5:], *p[:5]]))
+        texts.append(" ".join(rng.sample(p, len(p))))
+        third = len(p) // 3
+        texts.append(" ".join([*p[:third], *p[2 * third :], *p[third : 2 * third]]))
+    bag = lambda w: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j, x in items:
+            b = bag(x.split())
+            n = sum(b.values()) + 4
+            for s in range(4 - n, len(w)):
+                a = bag(w[max(s, 0) : max(s + n, 0)])
+                both = sum((a & b).values())
+                if both and 100 * both >= 80 * sum((a | b).values()):
+                    want[i, j] = max(want.get((i, j), (0, 0)), (both / sum((a | b).values()), -s))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"]) for r in decontaminate.matches(frame(spark, list(enumerate(texts))), bench).collect()}
+    assert got == {k: (pytest.approx(v[0]), v[1]) for k, v in want.items()}
+    assert {(0, 0), (3, 0), (7, 1), (10, 1)} <= set(want)
+
+
 # --- 8 ---
 
 
