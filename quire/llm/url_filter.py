@@ -4,7 +4,8 @@ A rule is a host and a path: it fits pages of that host and its subdomains whose
 longest rule that fits decides. Where none fits, the page's host decides: personalised PageRank carries trust along the
 links from hosts with allowed pages, and the same walk against the links carries distrust to hosts that link to ones
 with blocked pages. A host's part in the seeds is its share of allowed (blocked) pages. It is blocked if its
-distrust is above ``THRESHOLD`` times its trust.
+distrust is above ``THRESHOLD`` times its trust. The walks go on until no further host is reached and the summed change of
+``WRITE_EVERY`` steps is under ``TOLERANCE``; verdicts of scores that are closer than that are not certain.
 
 Links are counted by host pair before they are joined, so the graph grows with pairs of hosts, not with pages.
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from quire.session import written
 
-DAMPING, ROUNDS, WRITE_EVERY, THRESHOLD = 0.85, 12, 4, 1.0
+DAMPING, WRITE_EVERY, THRESHOLD = 0.85, 4, 1.0
+#: Steps go on until trust and distrust together change by less than this in WRITE_EVERY steps, summed over all hosts.
+TOLERANCE = 1e-9
 #: Rules stand in the plan itself, so their number has a bound.
 MOST_RULES = 1000
 
@@ -59,8 +62,8 @@ def host_links(pages: DataFrame) -> DataFrame:
     return ends.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust after ``rounds`` steps. seeds: host, trust, distrust (each summing to 1, or 0 throughout)."""
+def propagated(seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust at the fixed point, or after ``rounds`` steps where given. seeds: host, trust, distrust (each summing to 1, or 0 throughout)."""
     links = written(links, "host-links")
     if links.isEmpty():
         return seeds
@@ -73,13 +76,25 @@ def propagated(seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING,
     flows = written(along.unionByName(against), "host-flows")
     names = flows.select("host").distinct().join(seeds, "host", "full_outer").na.fill(0.0, ["trust", "distrust"])
     start = written(names, "host-seeds")
-    now = start
-    for k in range(1, rounds + 1):
+    step = lambda seed, more: (F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce(more, F.lit(0.0))).alias(seed)
+    now, last, k = start, start, 0
+    while rounds is None or k < rounds:
+        k += 1
         came = flows.join(now, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("trust") * F.col("t")).alias("more_t"), F.sum(F.col("distrust") * F.col("d")).alias("more_d"))
-        step = lambda seed, more: (F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce(more, F.lit(0.0))).alias(seed)
         now = start.join(came, "host", "left").select("host", step("trust", "more_t"), step("distrust", "more_d"))
-        if k % WRITE_EVERY == 0:
-            now = written(now, "host-scores")
+        if k % WRITE_EVERY:
+            continue
+        now = written(now, "host-scores")
+        if rounds is None:
+            before = last.select("host", F.col("trust").alias("was_t"), F.col("distrust").alias("was_d"))
+            change = F.sum(F.abs(F.col("trust") - F.col("was_t")) + F.abs(F.col("distrust") - F.col("was_d")))
+            any_ = F.sum((F.col("trust") > 0).cast("long") + (F.col("distrust") > 0).cast("long"))
+            was_any = F.sum((F.col("was_t") > 0).cast("long") + (F.col("was_d") > 0).cast("long"))
+            found = now.join(before, "host").agg(change.alias("change"), any_.alias("n"), was_any.alias("was_n")).first()
+            # hosts within k links are reached after k steps, so steps that reach no further host are the last to reach any
+            if found["n"] is None or (found["n"] == found["was_n"] and found["change"] < tolerance):
+                return now
+            last = now
     return now
 
 

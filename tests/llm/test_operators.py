@@ -340,6 +340,25 @@ def test_propagation(spark):
     assert [tuple(r) for r in url_filter.host_links(pages).collect()] == [("a", "b", 2)]
 
 
+def test_propagation_to_the_end(spark):
+    """A chain of 20 links to a blocked host, against the solved fixed point."""
+    links = [(f"h{k}", f"h{k + 1}", 1) for k in range(20)] + [("c0", "c1", 2), ("c1", "h15", 1)]
+    seeds = {"h20": (0.0, 1.0), "c0": (1.0, 0.0)}
+    names = sorted({h for s, d, _ in links for h in (s, d)})
+    at = {h: k for k, h in enumerate(names)}
+    count = np.zeros((len(names), len(names)))
+    for s, d, n in links:
+        count[at[s], at[d]] = n
+    along = (count / np.maximum(count.sum(1, keepdims=True), 1)).T
+    against = count / np.maximum(count.sum(0, keepdims=True), 1)
+    seed = np.array([seeds.get(h, (0.0, 0.0)) for h in names])
+    want = np.stack([np.linalg.solve(np.eye(len(names)) - 0.85 * m, 0.15 * seed[:, k]) for k, m in enumerate((along, against))], 1)
+    df = url_filter.propagated(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"), spark.createDataFrame(links, "src string, dst string, n long"))
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in df.collect()}
+    assert got == {h: (pytest.approx(want[at[h], 0], abs=1e-8), pytest.approx(want[at[h], 1], abs=1e-8)) for h in names}
+    assert got["h0"][1] > got["h0"][0] == 0
+
+
 # --- 9 ---
 
 
