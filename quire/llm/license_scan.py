@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 from quire.llm.license_texts import KNOWN
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that name a holder and differ from copy to copy.
-HOLDER_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that name a holder or a year and differ from copy to copy; a sentence that is wrapped at "copyright" or an item (c) is none.
+_YEAR = r"(?:(?:19|20)[0-9][0-9]|[\[<{]?(?:year|yyyy)[\]>}])"
+HOLDER_LINE = rf"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|{_YEAR})[^\n]*|copyright[^\n]*{_YEAR}[^a-z0-9\n]*|copyright[^\n]* (?:authors|inc|llc|ltd|corporation|foundation)\.?|(?:\(c\)|©)[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*)?{_YEAR}[^\n]*|© [^\n]*|all rights reserved[^a-z0-9\n]*)$"
+#: Digests stand in the plan itself, so their number has a bound.
+MOST_KNOWN = 5000
 #: Equivalent spellings, applied to the words once they stand between single spaces. Fixed values.
 SPELLINGS = (
     (" licence ", " license "),
@@ -72,14 +76,17 @@ def canonical_column(text: Column) -> Column:
     return F.trim(x)
 
 
-def known() -> dict[str, str]:
-    """Digest -> SPDX identifier."""
-    return {digest(text): name for name, texts in KNOWN.items() for text in texts}
+def known(more: Mapping[str, Sequence[str]] | None = None) -> dict[str, str]:
+    """Digest -> SPDX identifier, of the package's texts and of ``more`` by identifier."""
+    found = {digest(text): name for table in (KNOWN, more or {}) for name, texts in table.items() for text in texts}
+    if len(found) > MOST_KNOWN:
+        raise ValueError(f"over {MOST_KNOWN} licence texts")
+    return found
 
 
-def scan(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", more: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """doc_id, canonical_sha256, license_id (the entire text is that licence, else null), notices (licences named by whole lines, sorted)."""
-    spark, ids = documents.sparkSession, known()
+    spark, ids = documents.sparkSession, known(more)
     table = spark.createDataFrame(sorted(ids.items()), "canonical_sha256 string, license_id string")
     lookup = F.create_map(*(F.lit(x) for pair in sorted(ids.items()) for x in pair))
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.translate(x, UPPER, LOWER).contains(NOTICE_MARK))

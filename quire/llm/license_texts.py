@@ -1,4 +1,11 @@
-"""Texts of public licences and of the notices that name them, by SPDX identifier. Fixed values."""
+"""Texts of public licences and of the notices that name them, by SPDX identifier. Fixed values.
+
+Long texts stand in the files of ``licenses``, named by identifier; only the driver reads them.
+"""
+
+import os
+
+_FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licenses")
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -50,3 +57,6 @@ KNOWN = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
 }
+for _name in sorted(os.listdir(_FOLDER)) if os.path.isdir(_FOLDER) else ():  # executors get no text files and need none
+    with open(os.path.join(_FOLDER, _name), encoding="utf-8") as _file:
+        KNOWN[_name.removesuffix(".txt")] = (_file.read(), *KNOWN.get(_name.removesuffix(".txt"), ()))

@@ -140,6 +140,16 @@ def test_license(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_entire_texts(spark):
+    """Entire long licences, wrapped anew; sentences that a wrap begins with "copyright" stay; texts given by the caller."""
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"]
+    mit = license_texts.KNOWN["MIT"][0]
+    rows = [(k, license_texts.KNOWN[n][0]) for k, n in enumerate(names)]
+    rows += [(20, mit.replace("above copyright", "above\ncopyright")), (21, "Copyright (c) 2020 A B\nAll rights reserved.\n\n" + mit), (22, "Copyright The A Authors\n" + mit), (23, "Own terms.\n(c) 2021 Someone"), (24, license_texts.KNOWN["Apache-2.0"][0].replace("(c) You must retain", "(c) You may drop"))]
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(frame(spark, rows), more={"Own": ["Own terms."]}).collect()}
+    assert got == {**dict(enumerate(names)), 20: "MIT", 21: "MIT", 22: "MIT", 23: "Own", 24: None}
+
+
 # --- 4 ---
 
 
