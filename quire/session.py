@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the session doesn't name one (tests on one machine) a temporary folder becomes the checkpoint folder.
+    Where a session on one machine doesn't name one, a temporary folder becomes the checkpoint folder. On a cluster
+    that would be a folder that executors can't see, so there it is an error.
     """
     ship(spark)
     sc = spark.sparkContext
@@ -63,13 +66,52 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
+
+
+def _made(spark: SparkSession) -> list[str]:
+    """The scratch paths that this application has handed out and not removed."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_quire_made"):
+        sc._quire_made = []
+    return sc._quire_made
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path on whatever store it lies."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def cleaned(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Removes at its end the scratch paths that were made within, but for ``keep``: for work whose result has been written."""
+    made = _made(spark)
+    before = len(made)
+    yield
+    for path in made[before:]:
+        if path not in keep:
+            remove(spark, path)
+    made[before:] = [p for p in made[before:] if p in keep]
+
+
+def unused(name: str, *taken: DataFrame | list[str]) -> str:
+    """``name``, with as many underscores before it as no column of these has."""
+    there = {c.lower() for t in taken for c in (t.columns if isinstance(t, DataFrame) else t)}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, what: str, *, compression: str = "zstd") -> DataFrame:
