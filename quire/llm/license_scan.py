@@ -2,8 +2,9 @@
 
 A text's canonical form has ASCII letters in lower case, no copyright or all-rights-reserved lines, one spelling of
 words that the licence guidelines hold to be the same, and single spaces for everything that is not an ASCII letter or
-digit. Its SHA-256 is looked up by a hash join among the digests of known licences; entire texts match or don't. The
-same digests are looked up for each line of a text that speaks of a licence, which finds notices ("Released under ...")
+digit. Its SHA-256 is looked up by a hash join among the digests of known licences; entire texts match or don't. A
+licence that has copyright lines of its own is known as it stands and as it is with its paragraphs wrapped at each width in
+``WRAPS``, since a wrap moves what such a line ends with. The same digests are looked up for each line of a text that speaks of a licence, which finds notices ("Released under ...")
 within other text.
 
 The known licences are a table in this package, so the broadcast side has a fixed size.
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,10 @@ _YEAR = r"(?:(?:19|20)[0-9][0-9]|[\[<{]?(?:year|yyyy)[\]>}])"
 HOLDER_LINE = rf"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|{_YEAR})[^\n]*|copyright[^\n]*{_YEAR}[^a-z0-9\n]*|copyright[^\n]* (?:authors|inc|llc|ltd|corporation|foundation)\.?|(?:\(c\)|©)[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*)?{_YEAR}[^\n]*|© [^\n]*|all rights reserved[^a-z0-9\n]*)$"
 #: Digests stand in the plan itself, so their number has a bound.
 MOST_KNOWN = 5000
-#: Equivalent spellings, applied to the words once they stand between single spaces. Fixed values.
+#: Widths at which known licences with copyright lines of their own may be wrapped.
+WRAPS = range(40, 121)
+_HOLDER_WORDS = re.compile(r"copyright|\(c\)|©|all\s+rights\s+reserved", re.IGNORECASE)
+#: Equivalent spellings, applied to the words once each stands between spaces of its own. Fixed values.
 SPELLINGS = (
     (" licence ", " license "),
     (" licences ", " licenses "),
@@ -55,30 +61,54 @@ NOTICE_MARK = "licen"
 def canonical(text: str | None) -> str:
     """The canonical form, in Python; ``canonical_column`` is the same in SQL functions."""
     x = (text or "").translate(str.maketrans(UPPER, LOWER))
-    x = re.sub(HOLDER_LINE, " ", x)
-    x = f" {re.sub('[^a-z0-9]+', ' ', x)} ".replace("  ", " ")
+    return _spelt(re.sub(HOLDER_LINE, " ", x))
+
+
+def _spelt(x: str) -> str:
+    # two spaces between words, so that neighbours share none
+    x = f" {re.sub('[^a-z0-9]+', '  ', x)} "
     for a, b in SPELLINGS:
-        x = x.replace(a, b)
-    return x.strip(" ")
+        x = x.replace(_apart(a), b)
+    return re.sub(" +", " ", x).strip(" ")
+
+
+def _apart(spelling: str) -> str:
+    return f" {spelling.strip().replace(' ', '  ')} "
 
 
 def digest(text: str) -> str:
     return hashlib.sha256(canonical(text).encode()).hexdigest()
 
 
+@lru_cache(maxsize=MOST_KNOWN)
+def digests(text: str) -> frozenset[str]:
+    """The digest of the text, and of the text with its paragraphs wrapped at each of ``WRAPS``."""
+    forms = [[] for _ in WRAPS]
+    for paragraph in re.split(r"\n[ \t]*\n\s*", text.translate(str.maketrans(UPPER, LOWER))):
+        if not _HOLDER_WORDS.search(paragraph):  # no wrap changes it
+            for form in forms:
+                form.append(paragraph)
+            continue
+        words = " ".join(paragraph.split())
+        for form, width in zip(forms, WRAPS, strict=True):
+            lines = "\n".join(textwrap.wrap(words, width, break_long_words=False, break_on_hyphens=False))
+            form.append(re.sub(HOLDER_LINE, " ", lines))
+    whole = {"\n".join(form) for form in forms}
+    return frozenset([digest(text), *(hashlib.sha256(_spelt(x).encode()).hexdigest() for x in whole)])
+
+
 def canonical_column(text: Column) -> Column:
     x = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     x = F.regexp_replace(x, HOLDER_LINE, " ")
-    x = F.concat(F.lit(" "), F.regexp_replace(x, "[^a-z0-9]+", " "), F.lit(" "))
-    x = F.replace(x, F.lit("  "), F.lit(" "))
+    x = F.concat(F.lit(" "), F.regexp_replace(x, "[^a-z0-9]+", "  "), F.lit(" "))
     for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(x)
+        x = F.replace(x, F.lit(_apart(a)), F.lit(b))
+    return F.trim(F.regexp_replace(x, " +", " "))
 
 
 def known(more: Mapping[str, Sequence[str]] | None = None) -> dict[str, str]:
     """Digest -> SPDX identifier, of the package's texts and of ``more`` by identifier."""
-    found = {digest(text): name for table in (KNOWN, more or {}) for name, texts in table.items() for text in texts}
+    found = {d: name for table in (KNOWN, more or {}) for name, texts in table.items() for text in texts for d in digests(text)}
     if len(found) > MOST_KNOWN:
         raise ValueError(f"over {MOST_KNOWN} licence texts")
     return found
@@ -109,10 +139,10 @@ def oracle_sql() -> str:
     def canon(x: str) -> str:
         x = f"translate(coalesce({x}, ''), '{UPPER}', '{LOWER}')"
         x = f"regexp_replace({x}, {quote(HOLDER_LINE)}, ' ', 'g')"
-        x = f"replace(' ' || regexp_replace({x}, '[^a-z0-9]+', ' ', 'g') || ' ', '  ', ' ')"
+        x = f"' ' || regexp_replace({x}, '[^a-z0-9]+', '  ', 'g') || ' '"
         for a, b in SPELLINGS:
-            x = f"replace({x}, {quote(a)}, {quote(b)})"
-        return f"trim({x}, ' ')"
+            x = f"replace({x}, {quote(_apart(a))}, {quote(b)})"
+        return f"trim(regexp_replace({x}, ' +', ' ', 'g'), ' ')"
 
     values = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in sorted(known().items()))
     return f"""
