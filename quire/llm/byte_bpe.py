@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
+r"""Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 The rank file's path is a parameter; its bytes are read once on the driver and travel to the executors in a broadcast
 (a rank file is a vocabulary, so its size is fixed: about 1 MB, refused above ``MOST_RANK_BYTES``).
@@ -6,6 +6,10 @@ The rank file's path is a parameter; its bytes are read once on the driver and t
 Long texts are cut before a space that follows an ASCII letter or digit. No match of the usual pre-splitting patterns
 goes from a non-space character over to a space, and none looks back, so a match begins at each such cut: the ids are those of the whole text.
 
+The library's matcher keeps a step of each white-space character of a run in memory and breaks on about a million of them.
+Patterns that take white space by ``\s+(?!\S)|\s+`` match all of a run but its last character, or all of it at the text's end, so
+runs over ``RUN`` characters are cut out by that rule and encoded as the one match that they are.
+
 Defined results: a null or empty text has no ids; texts may be as long as a Spark string can be; repeated rows are
 encoded each on its own; extra columns pass through, and an output name that clashes with one replaces it.
 """
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import arrowtools
+from quire.session import ship
 
 MOST_RANK_BYTES = 64 << 20
 #: Characters after which a long text may be cut.
@@ -30,7 +35,14 @@ PIECE = 1 << 16
 #: Bytes of texts or ids that are Python values at once; a longer value is alone.
 CHUNK = 1 << 21
 
+#: Runs of white space beyond this aren't left to the library's matcher.
+RUN = 1 << 12
+
 _CUT = re.compile(r"(?<=[A-Za-z0-9]) ")
+#: What the pattern's \s stands for: Unicode's white space. Fixed value.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RULE = r"\s+(?!\S)|\s+"
+_LONG_RUN = re.compile(f"[{SPACE}]{{{RUN},}}")
 _encodings: dict = {}
 
 
@@ -68,9 +80,17 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 def encode_text(enc, text: str) -> np.ndarray:
     """The ids of a whole text."""
-    if len(text) <= PIECE:
+    if len(text) <= RUN:
         return np.array(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(x), "<u4") for x in pieces(text)])
+    found, start = [], 0
+    # only patterns with that rule match runs so; others are left to the library
+    for run in _LONG_RUN.finditer(text) if enc._pat_str.endswith(_RULE) else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        found += [enc.encode_ordinary(x) for x in pieces(text[start : run.start()])]
+        found.append(enc._encode_single_piece(text[run.start() : end]))
+        start = end
+    found += [enc.encode_ordinary(x) for x in pieces(text[start:])]
+    return np.concatenate([np.array(x, "<u4") for x in found])
 
 
 def _append(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -82,6 +102,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", ids
 
     ``id_array`` turns that into an array column.
     """
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     schema = _append(df, ids, T.BinaryType())
     names = [n for n in schema.names if keep_text or n != text]
@@ -98,6 +119,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", ids
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``decoded``: the raw bytes that the ids stand for (which need not be whole UTF-8 characters); null ids give no bytes."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     schema = _append(df, decoded, T.BinaryType())
     names = schema.names
