@@ -4,7 +4,10 @@ Rows are packed into blocks where they are read; query blocks and row blocks mee
 of rows on either side. In a cell, int8 copies of the vectors give all distances by one matrix product with a bound on
 the quantisation error; pairs whose lower bound can still reach a query's k-th best are computed again in double
 precision on the original vectors and merged by heaps, and a second merge joins the cells of a query. The bounds make
-the search exact.
+the search exact. Vectors of doubles stay doubles; other numbers than floats become doubles.
+
+A query's answers of a cell are its k best there, and Spark limits ranks before it shuffles them, so what meets in the last merge
+are k rows of each task that has cells of the query.
 
 Error bound: x = s*q + r with r the rounding remainder, so | |x - y| - |s_x q_x - s_y q_y| | <= |r_x| + |r_y|.
 
@@ -23,6 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.session import ship
 
 #: Rows of a block as packed, and of a grid cell's sides.
 PACK, QUERY_SIDE, ROW_SIDE = 1024, 8192, 16384
@@ -39,15 +45,15 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(odd, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def pack(rows: DataFrame, query: bool) -> DataFrame:
-    """Blocks of up to PACK vectors of one length, made where the rows are."""
+def pack(rows: DataFrame, query: bool, kind: str) -> DataFrame:
+    """Blocks of up to PACK vectors of one length, made where the rows are; ``kind`` is numpy's name of their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0), dtype="<i8")
             column = batch.column(1)
             at = np.asarray(column.offsets, dtype=np.int64)
-            values = np.asarray(column.values, dtype="<f4")
+            values = np.asarray(column.values, dtype=kind)
             dims = np.diff(at)
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
@@ -65,6 +71,7 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """int8 copy (as floats, for the product), scale, squared length of the copy, length of the remainder."""
     x = x.astype(np.float64)
     scale = np.abs(x).max(1) / 127
+    scale[scale == 0] = np.finfo(float).tiny  # of a vector whose components are next to nothing
     q = np.rint(x / scale[:, None])
     # sums of up to 1,000 products of two int8 values are exact in single precision
     kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
@@ -92,8 +99,11 @@ def search(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k
             r8, rs, rn, re = quantised(rows)
             near = np.sqrt(np.maximum(qn[:, None] + rn - 2 * qs[:, None] * rs * (q8 @ r8.T), 0))
             slack = (qe[:, None] + re) * (1 + 1e-9) + 1e-6 * (np.sqrt(qn)[:, None] + np.sqrt(rn))
+            # beyond the range of doubles the bounds say nothing, so such pairs are computed
+            lost = ~np.isfinite(near) | ~np.isfinite(slack)
+            near[lost], slack[lost] = 0, np.inf
             same = ids[:, None] == there
-            near[same] = np.inf
+            near[same], slack[same] = np.inf, 0
             if near.shape[1] > k:
                 upper = np.partition(near + slack, k - 1, axis=1)[:, k - 1]
                 bound = np.minimum(reach, upper)
@@ -113,21 +123,24 @@ def search(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, *, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which ``queries`` holds its k nearest other rows."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v"), queries.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    ship(spark)
+    single = isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType)
+    kind, parts = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(parts).alias("v"), queries.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
     n_rows, n_asked = rows.agg(F.count("*"), F.count_if("q")).first()
     row_cells, query_cells = max(1, -(-n_rows // ROW_SIDE)), max(1, -(-n_asked // QUERY_SIDE))
     spread = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    of_rows = pack(rows.select("id", "v"), False).withColumn("rc", spread(row_cells)).withColumn("qc", copies(query_cells))
-    of_asked = pack(asked, True).withColumn("qc", spread(query_cells)).withColumn("rc", copies(row_cells))
+    of_rows = pack(rows.select("id", "v"), False, kind).withColumn("rc", spread(row_cells)).withColumn("qc", copies(query_cells))
+    of_asked = pack(asked, True, kind).withColumn("qc", spread(query_cells)).withColumn("rc", copies(row_cells))
 
     def cell(table: pa.Table) -> pa.Table:
         sides: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
         dim = table.column("dim")[0].as_py()
         for query, ids, raw in zip(*(table.column(c).to_pylist() for c in ("query", "ids", "vectors")), strict=True):
             sides[query][0].append(np.frombuffer(ids, "<i8"))
-            sides[query][1].append(np.frombuffer(raw, "<f4").reshape(-1, dim))
+            sides[query][1].append(np.frombuffer(raw, kind).reshape(-1, dim))
         out: list[tuple[int, int, float]] = []
         if sides[True][0] and sides[False][0]:
             (q_ids, q), (r_ids, r) = ((np.concatenate(x), np.concatenate(y)) for x, y in (sides[True], sides[False]))
