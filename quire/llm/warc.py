@@ -10,7 +10,8 @@ Archives and index lie in the folder in ``spark.checkpoint.dir``, reached by pya
 
 Defined results: a null payload is an empty one; a null url gives a record without WARC-Target-URI; a null page_id is
 written as such, never refers and is never referred to; rows that repeat a page_id and its payload are each a record
-of the same type; an empty table gives no records. Extra columns are ignored.
+of the same type; rows that repeat a page_id with different payloads are records under one id, and a revisit that refers to
+it names the one with its own payload digest; an empty table gives no records. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import scratch, shared_dir, written
+from quire.llm import arrowtools
+from quire.session import scratch, shared_dir, ship, written
 
 #: Payloads below this are never replaced by a revisit.
 LEAST_REVISIT_BYTES = 1000
@@ -34,6 +36,8 @@ LEAST_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Ranges in one file closer than GAP are read together, up to READ at a time.
 GAP, READ = 64 << 10, 8 << 20
+#: Bytes of payloads that are Python values at once; a longer payload is alone.
+CHUNK = 4 << 20
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long, payload_bytes long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, digest string, payload binary"
@@ -52,15 +56,16 @@ def file_system(path: str):
 def plan(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload, refers_to: which page's response stands for this one's payload (null: its own).
 
-    The largest page_id is found by a partial aggregate on the payload's digest and length; only groups with a
-    second page come back, in a join whose hot keys Spark splits.
+    The largest page_id is found by a partial aggregate on the payload's digest; only groups with a second page come
+    back, in a join whose hot keys Spark splits. Payloads below ``least`` bytes aren't in that join, so no key stands for all of them.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn(
-        "same", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256)))
-    )
-    keepers = rows.where("same is not null").groupBy("same").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(F.col("keeper").isNull() | F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(None)).otherwise(F.col("keeper"))
-    return rows.join(keepers, "same", "left").select("page_id", "url", "payload", refers.cast("long").alias("refers_to"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    large = F.octet_length("payload") >= least
+    alone = rows.where(~large).withColumn("refers_to", F.lit(None).cast("long"))
+    rows = rows.where(large).withColumn("same", F.unhex(F.sha2("payload", 256)))
+    keepers = rows.groupBy("same").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).cast("long")
+    return rows.join(keepers, "same", "left").select("page_id", "url", "payload", refers.alias("refers_to")).unionByName(alone)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> tuple[bytes, str, str]:
@@ -85,6 +90,7 @@ def _gzip(raw: bytes, level: int) -> bytes:
 def write(planned: DataFrame, *, date: str = "1970-01-01T00:00:00Z", level: int = 4) -> DataFrame:
     """Writes the archives; returns the index, itself written."""
     spark = planned.sparkSession
+    ship(spark)
     folder = scratch(spark, "warc")
     columns = [x.split()[0] for x in INDEX.split(", ")]
 
@@ -93,7 +99,7 @@ def write(planned: DataFrame, *, date: str = "1970-01-01T00:00:00Z", level: int
         system.create_dir(root, recursive=True)
         out, name, at = None, "", 0
         try:
-            for batch in batches:
+            for batch in (part for whole in batches for part in arrowtools.slices(whole, "payload", CHUNK)):
                 rows: list[tuple] = []
                 for page_id, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                     if out is None:
