@@ -6,16 +6,16 @@
 3. 42 bands of 6 bins deal the nodes into buckets; a pair with a similarity of 0.8 misses all of them with a
    probability of 3 in a million.
 4. Candidates are stars: the bucket's smallest id with each other member, so pairs grow with rows, not with their squares.
-   A star alone could lose links between its leaves. Where a leaf isn't connected to its centre, ``leaf_pairs`` finds
-   the pairs of leaves that can still be linked, from how they differ from the centre; a pair that is connected already
-   needs no test, so no connection is lost.
+   A star alone could lose links between its leaves. Where a leaf isn't connected to its centre, two leaves become
+   centres too (``recentred``), and where that leaves some apart, ``leaf_pairs`` finds the pairs of leaves that can still be
+   linked, from how they differ from the centre; a pair that is connected already needs no test, so no connection is lost.
 5. Each candidate is confirmed on the full sets, and components grow by large-star and small-star steps.
 
 The texts of nodes that share a bucket are written once, in a table bucketed by id, so that no round shuffles them again.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a row with a null id is linked with nothing and stays; rows that repeat an id
-are each judged by their own text; an empty table gives no rows; extra columns are ignored by ``components``.
+are each judged by their own text, and texts under one id are not linked by it; an empty table gives no rows; extra columns are ignored by ``components``.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import arrowtools, words
-from quire.session import shared_dir, written
+from quire.session import remove, scratch, shared_dir, ship, unused, written
 
 BITS, BANDS, ROWS = 8, 42, 6
 #: Leaves of one centre that may share a shingle before it counts as the centre's.
 COMMON = 8
+#: Partners of one text that a task compares it with.
+SPLIT = 256
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -76,7 +78,8 @@ def text_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def signatures(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set) and bands."""
+    """doc_id, row (a digest of the text), n_shingles, set_key (null for an empty set) and bands."""
+    ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -85,20 +88,40 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("row"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
+                    ["doc_id", "row", "n_shingles", "set_key", "bands"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row binary, n_shingles long, set_key binary, bands array<long>")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, size: int, *, novel: bool = False) -> DataFrame:
-    """a, b, size_a, size_b, common on the full sets; with ``novel`` also the shingles of b that a lacks."""
+def row_key(text: Column) -> Column:
+    """Tells apart rows that repeat an id with different texts."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, text_a, text_b. A text with over ``SPLIT`` partners goes to several tasks, each with its share of them."""
     of_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    plain = lambda p: p.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
+    pairs = written(pairs, "pairs")
+    hot = written(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("a", F.ceil(F.col("n") / SPLIT).cast("int").alias("shares")), "hot")
+    if hot.isEmpty():
+        return plain(pairs)
+    dealt = pairs.join(hot, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
+    copies = of_a.join(hot, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    spread = dealt.join(of_b.hint("merge"), "b").join(copies.hint("merge"), ["a", "share"]).select("a", "b", "text_a", "text_b")
+    return plain(pairs.join(hot, "a", "left_anti")).unionByName(spread)
+
+
+def compared(pairs: DataFrame, texts: DataFrame, size: int, *, novel: bool = False) -> DataFrame:
+    """a, b, size_a, size_b, common on the full sets; with ``novel`` also the shingles of b that a lacks."""
     kinds = "a long, b long, size_a long, size_b long, common long" + ", novel array<long>" * novel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +143,7 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, *, novel: bool = Fal
                     made.append(pa.array(more, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], ["a", "b", "size_a", "size_b", "common", *["novel"] * novel])
 
-    return pairs.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, kinds)
+    return _beside(pairs, texts).mapInArrow(run, kinds)
 
 
 def linked(size_x: str, size_y: str, common: Column, percent: int) -> Column:
@@ -147,7 +170,31 @@ def connected(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def leaf_pairs(stars: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _with_groups(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """The stars' pairs with the components of leaf (own) and centre (main)."""
+    of_b, of_a = (groups.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("b", "own"), ("a", "main")))
+    named = stars.join(of_b, "b", "left").join(of_a, "a", "left")
+    return written(named.select("a", "b", "size_a", "size_b", "common", F.coalesce("own", "b").alias("own"), F.coalesce("main", "a").alias("main")), "leaves")
+
+
+def recentred(named: DataFrame) -> DataFrame | None:
+    """New stars' pairs where a leaf isn't connected to its centre; none if there is no such leaf.
+
+    The leaf most like the centre becomes the second centre, and the most alike of those that aren't connected the third: each
+    meets the leaves of other components. In a group whose members differ from a common origin in different measure,
+    the second centre is the one nearest to the origin, which more of them are similar to.
+    """
+    alike = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
+    rank = F.struct(alike.alias("alike"), (-F.col("b")).alias("before"), "b", "own")
+    apart = F.col("own") != F.col("main")
+    open_ = written(named.groupBy("a").agg(F.count("*").alias("n"), F.max(apart).alias("apart"), F.max(rank).alias("one"), F.max(F.when(apart, rank)).alias("two")).where("n > 1 and apart"), "open")
+    if open_.isEmpty():
+        return None
+    chosen = open_.select("a", F.explode(F.array("one", "two")).alias("centre"))
+    return named.select("a", "b", "own").join(chosen, "a").where("own <> centre.own").select(F.col("centre.b").alias("a"), "b").distinct()
+
+
+def leaf_pairs(named: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
     """The pairs of one centre's leaves that may still be linked and aren't connected yet; none if no leaf is apart from its centre.
 
     Let c be the centre's set with all shingles that over ``COMMON`` of its leaves have. Of two leaves x and y, either
@@ -155,9 +202,7 @@ def leaf_pairs(stars: DataFrame, groups: DataFrame, texts: DataFrame, size: int,
     most min(|x & c|, |y & c|) shingles. So a join on such shingles and a join on sizes find every pair that can reach the
     similarity; leaves that differ from the centre each in their own way, however many, give few.
     """
-    of_b, of_a = (groups.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("b", "own"), ("a", "main")))
-    named = stars.join(of_b, "b", "left").join(of_a, "a", "left").select("a", "b", F.coalesce("own", "b").alias("own"), F.coalesce("main", "a").alias("main"))
-    named = written(named, "leaves")
+    named = named.select("a", "b", "own", "main")
     open_ = named.groupBy("a").agg(F.count("*").alias("n"), F.max(F.col("own") != F.col("main")).alias("apart")).where("n > 1 and apart")
     wanted = written(named.join(open_.select("a"), "a", "left_semi"), "open")
     if wanted.isEmpty():
@@ -180,33 +225,92 @@ def leaf_pairs(stars: DataFrame, groups: DataFrame, texts: DataFrame, size: int,
     return written(by_size.select(*pair).unionByName(by_shingle.select(*pair)).distinct(), "leaf-pairs")
 
 
-def components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: the documents that links of that similarity connect, smallest id first."""
+def _nodes(sigs: DataFrame) -> tuple[DataFrame, bool]:
+    """(set_key, rep, row, node of each different set, whether an id repeats): rep is the smallest id that has the set.
+
+    A node is the set's rep. Where ids repeat with different texts, sets that share a rep with another get numbers
+    above all ids instead (an error if so many aren't free).
+    """
+    named = sigs.where("set_key is not null and doc_id is not null")
+    sets = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("set_key", F.col("first.doc_id").alias("rep"), "first.row", F.col("first.doc_id").alias("node"))
+    repeats = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+    sets = written(sets, "sets")
+    if not repeats:
+        return sets, False
+    first = sets.groupBy("rep").agg(F.min("set_key").alias("own"), F.count("*").alias("n")).where("n > 1")
+    others = sets.join(first, "rep").where("set_key <> own").select("set_key")
+    last = sets.agg(F.max("rep")).first()[0]
+    numbers = written(others.withColumn("number", F.monotonically_increasing_id() + F.lit((last or 0) + 1)), "numbers")
+    return written(sets.join(numbers, "set_key", "left").withColumn("node", F.coalesce("number", "node")).drop("number"), "sets"), True
+
+
+def row_components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept, node: ``node`` names the component, also where ids repeat; null where nothing is linked for want of words or of an id."""
     spark = documents.sparkSession
     shared_dir(spark)
     sigs = written(signatures(documents, size), "signatures")
-    sets = sigs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    nodes = sigs.where("doc_id is not null").join(sets.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).select("set_key", F.col("doc_id").alias("node"), "bands").dropDuplicates(["set_key"])
-    # a node that repeats with another text keeps links to either under one id
-    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
+    sets, repeats = _nodes(sigs)
+    firsts = sigs.join(sets.select("set_key", F.col("rep").alias("doc_id"), "row", "node"), ["set_key", "doc_id", "row"])
+    dealt = firsts.select("set_key", "node", "bands").dropDuplicates(["set_key"]).select("node", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     members = written(dealt.join(shared, "bucket"), "members")
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
-    name = f"quire_texts_{uuid.uuid4().hex}"
-    wanted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    ids = members.select("node").distinct()
+    name, path = f"quire_texts_{uuid.uuid4().hex}", scratch(spark, "texts")
+    if repeats:  # one row of each node's text
+        rows = documents.select(F.col("doc_id").cast("long").alias("rep"), row_key(F.col("text")).alias("row"), "text")
+        wanted = rows.join(sets.join(ids, "node", "left_semi").select("rep", "row", "node"), ["rep", "row"])
+        wanted = wanted.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    else:
+        wanted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted.write.bucketBy(buckets, "doc_id").option("compression", "zstd").saveAsTable(name)
+    wanted.write.bucketBy(buckets, "doc_id").option("compression", "zstd").option("path", path).saveAsTable(name)
     try:
         texts = spark.table(name)
+        near = linked("size_a", "size_b", F.col("common"), percent)
         stars = written(compared(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), texts, size), "stars")
-        found = stars.where(linked("size_a", "size_b", F.col("common"), percent)).select("a", "b")
-        more = leaf_pairs(stars, connected(found), texts, size, percent)
-        if more is not None:
-            checked = compared(more, texts, size).where(linked("size_a", "size_b", F.col("common"), percent)).select("a", "b")
-            found = found.unionByName(written(checked, "links"))
+        found = stars.where(near).select("a", "b")
+        for step in (recentred, lambda named: leaf_pairs(named, texts, size, percent)):
+            more = step(_with_groups(stars, connected(found)))
+            if more is None:
+                break
+            found = found.unionByName(written(compared(more, texts, size).where(near).select("a", "b"), "links"))
         groups = connected(found)
-        by_set = sets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-        out = sigs.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        by_set = sets.join(groups, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("node"))
+        if repeats:  # the smallest node of a component may be a number that stands for a repeated id
+            by_set = by_set.join(by_set.groupBy("node").agg(F.min("rep").alias("component_id")), "node")
+        else:
+            by_set = by_set.withColumn("component_id", F.col("node"))
+        by_set = by_set.select("set_key", "node", "component_id")
+        usable = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
+        own = sigs.select("doc_id", "row", "n_shingles", "set_key")
+        with_set = own.where(usable).join(by_set, "set_key").drop("set_key")
+        without = own.where(~usable).select("doc_id", "row", "n_shingles", F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id"))
+        out = with_set.unionByName(without)
         return written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "components")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
+def components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: the documents that links of that similarity connect, smallest id first."""
+    return row_components(documents, size=size, percent=percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents' columns, one row of each component: that with the smallest id, then text digest. Rows without words or id stay."""
+    found = row_components(documents, size=size, percent=percent).where("node is not null").select("node", "doc_id", "row")
+    best = found.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    judged = written(found.join(best.drop("n"), "node").withColumn("stays", F.struct("doc_id", "row") == F.col("best")).select("doc_id", "row", "stays"), "judged")
+    own, own_row = unused("own_id", documents), unused("own_row", documents)
+    keyed = documents.withColumn(own_row, row_key(F.col("text")))
+    named = lambda df: df.select(F.col("doc_id").alias(own), F.col("row").alias(own_row)).distinct()
+    on = lambda df: (keyed["doc_id"].cast("long") == df[own]) & (keyed[own_row] == df[own_row])
+    goes = named(judged.where("not stays"))
+    kept = keyed.join(goes, on(goes), "left_anti")
+    again = judged.where("stays").groupBy("doc_id", "row").count().where("count > 1")
+    if not again.isEmpty():  # else no text is shuffled for it
+        again = named(again)
+        match = (kept["doc_id"].cast("long") == again[own]) & (kept[own_row] == again[own_row])
+        kept = kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates(["doc_id", own_row]))
+    return kept.select(*documents.columns)
