@@ -410,9 +410,9 @@ def _removed(sent: DataFrame, least: int, gram: int) -> DataFrame:
     return sent.groupBy("range").applyInArrow(run, "block long, starts binary, ends binary")
 
 
-def _finished(blocks: DataFrame, removed: DataFrame, schema: T.StructType, text: str) -> DataFrame:
-    names = [n for n in schema.names if n not in ("kept", "span_starts", "span_ends")]
-    kinds = T.StructType([*(schema[n] for n in names), *(T.StructField(n, t) for n, t in (("kept", T.BinaryType()), ("span_starts", T.ArrayType(T.LongType())), ("span_ends", T.ArrayType(T.LongType()))))])
+def _finished(blocks: DataFrame, removed: DataFrame, schema: T.StructType, text: str, made: tuple[str, str, str]) -> DataFrame:
+    names = [n for n in schema.names if n not in made]
+    kinds = T.StructType([*(schema[n] for n in names), *(T.StructField(n, t) for n, t in zip(made, (T.BinaryType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -436,15 +436,15 @@ def _finished(blocks: DataFrame, removed: DataFrame, schema: T.StructType, text:
                     step = np.flatnonzero(np.diff(np.concatenate(([False], here, [False])).astype(np.int8)))
                     starts.append(step[::2].tolist())
                     ends.append(step[1::2].tolist())
-                made = {"kept": pa.array(kept, pa.binary()), "span_starts": pa.array(starts, pa.list_(pa.int64())), "span_ends": pa.array(ends, pa.list_(pa.int64()))}
-                yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), *made.values()], [*names, *made])
+                added = [pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), *added], [*names, *made])
 
     joined = blocks.select("block", "rows").join(_gathered(removed, "starts", "ends").hint("shuffle_hash"), "block", "left")
     return joined.select("rows", "parts").mapInArrow(run, kinds)
 
 
-def deduplicated(documents: DataFrame, *, least: int = LEAST, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents' columns with kept (the remaining bytes), span_starts and span_ends (the removed runs, in bytes)."""
+def deduplicated(documents: DataFrame, *, least: int = LEAST, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", kept: str = "kept", span_starts: str = "span_starts", span_ends: str = "span_ends") -> DataFrame:
+    """The documents' columns with kept (the remaining bytes), span_starts and span_ends (the removed runs, in bytes), under names that can be chosen."""
     if not 0 < gram <= least:
         raise ValueError("gram must be from 1 to least")
     spark = documents.sparkSession
@@ -454,7 +454,7 @@ def deduplicated(documents: DataFrame, *, least: int = LEAST, gram: int = GRAM,
     blocks = _packed(documents, name, text)
     shared = written(_shared_keys(_send_keys(blocks, text, ranges, least, gram), hot), "shared-keys")
     removed = written(_removed(_send_segments(blocks, shared, text, doc_id, ranges, least, gram), least, gram), "removed")
-    out = _finished(blocks, removed, documents.schema, text)
+    out = _finished(blocks, removed, documents.schema, text, (kept, span_starts, span_ends))
     spark.sql(f"DROP TABLE IF EXISTS {name}")  # the catalogue's entry; the files stay in the shared folder
     return out
 
