@@ -3,8 +3,10 @@
 Eight heuristic labellers look at a text's bytes and words and each vote good, bad or nothing. All documents' vote
 patterns are counted (a partial aggregate; there are at most 3**8 patterns), and expectation-maximisation estimates how
 often each labeller votes what on good and on bad texts, and with that the posterior of each pattern, without
-any given labels. Posterior labels of a bounded sample of ``SAMPLE`` documents, chosen by a hash of their id, then train
-a linear scorer over hashed features (byte trigrams, and word forms with repetition), which scores every whole text.
+any given labels. Posterior labels of a bounded sample, ``sample`` documents with the least hashes of id and text, then train
+a linear scorer over hashed features (byte trigrams, and word forms with repetition), which scores every whole text. Of a
+sampled text longer than ``piece`` characters, a piece of that length from a place that its hash names is a training text
+of its own, voted on as such, so long texts train the scorer too and the driver holds at most ``sample`` pieces.
 
 Defined results: a null or empty text gets no votes and is scored by the scorer's bias; repeated rows are scored alike;
 ids may be null; an empty table gives no rows; extra columns pass through ``accepted``.
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 
 from quire.llm import arrowtools
 from quire.llm.words import mix, word_hash, words
+from quire.session import ship, unused
 
-#: Documents of the sample that trains the scorer; longer texts than SAMPLE_BYTES aren't in it.
-SAMPLE, SAMPLE_BYTES = 2000, 1 << 14
+#: Documents of the sample that trains the scorer, and the longest piece of each in characters. Defaults of ``sample`` and ``piece``.
+SAMPLE, PIECE = 4000, 1 << 13
 LABELLERS = 8
 ABSTAIN, GOOD, BAD = 0, 1, 2
 TABLE_BITS = 16
@@ -106,6 +109,7 @@ def pattern(votes_: np.ndarray) -> np.ndarray:
 
 def patterns(documents: DataFrame) -> DataFrame:
     """pattern of each document."""
+    ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -138,6 +142,13 @@ def posteriors(seen: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple
     return good, chance
 
 
+def posterior(pattern_: np.ndarray, prior: float, chance: np.ndarray) -> np.ndarray:
+    """The probability that texts of these patterns are good, seen before or not."""
+    v = pattern_[:, None] // 3 ** np.arange(LABELLERS) % 3
+    bad, good = (np.log(chance[c][np.arange(LABELLERS), v]).sum(1) for c in (0, 1))
+    return 1 / (1 + np.exp(np.clip(np.log(1 - prior) + bad - np.log(prior) - good, -60, 60)))
+
+
 def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Two lists of hashed features, byte trigrams and word forms, each with where the texts' own begin."""
     wide = data.astype(np.uint32)
@@ -184,28 +195,31 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.margins(features(*arrowtools.flat_utf8(column))), -30, 30)))
 
 
-def trained(documents: DataFrame, *, sample: int = SAMPLE) -> Scorer:
+def trained(documents: DataFrame, *, sample: int = SAMPLE, piece: int = PIECE) -> Scorer:
     """The scorer for these documents; no labels are read."""
     counted = patterns(documents).groupBy("pattern").count().toPandas()  # 6,561 rows at most
     scorer = Scorer()
     if not len(counted):
         return scorer
     seen, counts = counted["pattern"].to_numpy(), counted["count"].to_numpy().astype(float)
-    good, _ = posteriors(seen, counts)
-    rate = min(1.0, sample / counts.sum())
-    chosen = (F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)) <= F.lit(rate)
-    rows = documents.select("doc_id", "text").where(chosen & (F.octet_length("text") <= SAMPLE_BYTES) & (F.octet_length("text") > 0)).limit(2 * sample).select("text").toArrow()
-    column = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    if not len(column):
+    good, chance = posteriors(seen, counts)
+    prior = float(np.clip((good * counts).sum() / counts.sum(), 0.01, 0.99))
+    rows = documents.where(F.octet_length("text") > 0).select(F.xxhash64("doc_id", "text").alias("near"), "text")
+    # hashes below this are at least twice the sample, but for chances of nothing, so the sort sees few rows
+    rate = min(1.0, (2 * sample + 100) / counts.sum())
+    rows = rows.where((F.col("near") / F.lit(2.0**64) + F.lit(0.5)) <= F.lit(rate)) if rate < 1 else rows
+    start = F.pmod(F.xxhash64("near"), F.greatest(F.length("text") - (piece - 1), F.lit(1))).cast("int") + 1
+    column = rows.select("near", F.substring("text", start, F.lit(piece)).alias("text")).orderBy("near", "text").limit(sample).select("text").toArrow().column("text").combine_chunks()
+    if not len(column):  # there is no text at all
         return scorer
     data, at = arrowtools.flat_utf8(column)
-    target = dict(zip(seen.tolist(), good.tolist(), strict=True))
-    scorer.fit(features(data, at), np.array([target.get(p, 0.5) for p in pattern(votes(data, at)).tolist()]))
+    scorer.fit(features(data, at), posterior(pattern(votes(data, at)), prior, chance))
     return scorer
 
 
 def scored(documents: DataFrame, scorer: Scorer, score: str = "score") -> DataFrame:
     """The documents' columns with ``score``, the probability that the text is good."""
+    ship(documents.sparkSession)
     weights, bias = scorer.weights.astype(np.float32), scorer.bias
     shared = documents.sparkSession.sparkContext.broadcast((weights, bias))
     fields = [f for f in documents.schema.fields if f.name != score]
@@ -222,13 +236,13 @@ def scored(documents: DataFrame, scorer: Scorer, score: str = "score") -> DataFr
     return documents.mapInArrow(run, kinds)
 
 
-def judged(documents: DataFrame, *, least: float = LEAST) -> DataFrame:
+def judged(documents: DataFrame, *, least: float = LEAST, sample: int = SAMPLE, piece: int = PIECE) -> DataFrame:
     """doc_id, score, keep of every document."""
     thin = documents.select("doc_id", "text")
-    return scored(thin, trained(thin)).select("doc_id", "score", (F.col("score") >= least).alias("keep"))
+    return scored(thin, trained(thin, sample=sample, piece=piece)).select("doc_id", "score", (F.col("score") >= least).alias("keep"))
 
 
-def accepted(documents: DataFrame, *, least: float = LEAST) -> DataFrame:
+def accepted(documents: DataFrame, *, least: float = LEAST, sample: int = SAMPLE, piece: int = PIECE) -> DataFrame:
     """The documents that the scorer doesn't reject, with their columns."""
-    name = "_quality"
-    return scored(documents, trained(documents), name).where(F.col(name) >= least).drop(name)
+    name = unused("quality", documents)
+    return scored(documents, trained(documents, sample=sample, piece=piece), name).where(F.col(name) >= least).drop(name)
