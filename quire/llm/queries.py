@@ -58,8 +58,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's host, path, rule and verdict."""
-    return url_filter.judged(table(spark, sf_dir, "pages"), RULES)
+    """Every page's host, path, rule and verdict, with its host's trust and distrust to nine places."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), RULES).withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,7 @@ ORACLE_SQL: dict[str, str] = {
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM d)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_license": license_scan.oracle_sql(),
+    "op8_url_filter": url_filter.oracle_sql(RULES),
     "op5_warc": """
     WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
     d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest, b FROM p),

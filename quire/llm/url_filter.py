@@ -3,8 +3,9 @@
 A rule is a host and a path: it fits pages of that host and its subdomains whose path starts with the rule's, and the
 longest rule that fits decides. Where none fits, the page's host decides: personalised PageRank carries trust along the
 links from hosts with allowed pages, and the same walk against the links carries distrust to hosts that link to ones
-with blocked pages. A host's part in the seeds is its share of allowed (blocked) pages. It is blocked if its
-distrust is above ``THRESHOLD`` times its trust. The walks go on until no further host is reached and the summed change of
+with blocked pages. A host's part in the seeds is its share of allowed (blocked) pages. What a host without further links
+holds goes back to the seeds; a fixed point without that, divided by its sum, is the same, so it is found that way. A host is
+blocked if its distrust is above ``THRESHOLD`` times its trust. The walks go on until no further host is reached and the summed change of
 ``WRITE_EVERY`` steps is under ``TOLERANCE``; verdicts of scores that are closer than that are not certain.
 
 Links are counted by host pair before they are joined, so the graph grows with pairs of hosts, not with pages.
@@ -29,8 +30,9 @@ TOLERANCE = 1e-9
 MOST_RULES = 1000
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Targets that name a host; relative ones stay on their own.
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+#: What a page links to, and the start of targets that name a host (others stay on the page's) or are no page.
+LINK = r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+FULL, NO_PAGE = "(?i)^[a-z][a-z0-9+.-]*://", "(?i)^[a-z][a-z0-9+.-]*:([^/]|/[^/]|/?$)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,16 +56,31 @@ def fitting(rules: Sequence[tuple[str, str]]) -> Column:
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
 
+def resolved(link: Column, own: Column) -> Column:
+    """The host that a link on a page of the host ``own`` leads to; null if it leads to no page."""
+    there = F.when(link.startswith("//"), host(F.concat(F.lit("x:"), link)))
+    return there.when(F.rlike(link, F.lit(FULL)), host(link)).when(F.rlike(link, F.lit(NO_PAGE)), F.lit(None).cast("string")).otherwise(own)
+
+
 def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, n: links from one host to another."""
+    """src, dst, n: links from one host to another, relative ones resolved against their page. Links within a host pass nothing on."""
     links = pages.select(host(F.col("url")).alias("src"), F.explode_outer(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("link"))
-    full = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link"))
-    ends = links.select("src", host(full).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    ends = links.select("src", resolved(F.col("link"), F.col("src")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return ends.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def _shares(scores: DataFrame) -> DataFrame:
+    """Trust and distrust divided by their sums; sums of 0 stay."""
+    total = scores.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
+    part = lambda c, n: (F.col(c) / F.lit(n) if n else F.col(c)).alias(c)
+    return scores.select("host", part("trust", total["t"]), part("distrust", total["d"]))
+
+
 def propagated(seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust, distrust at the fixed point, or after ``rounds`` steps where given. seeds: host, trust, distrust (each summing to 1, or 0 throughout)."""
+    """host, trust, distrust at the fixed point, or after ``rounds`` steps where given. seeds: host, trust, distrust (each summing to 1, or 0 throughout).
+
+    Without links that is the seeds, as it is for hosts that no link reaches, but for what others gain.
+    """
     links = written(links, "host-links")
     if links.isEmpty():
         return seeds
@@ -93,9 +110,9 @@ def propagated(seeds: DataFrame, links: DataFrame, *, damping: float = DAMPING,
             found = now.join(before, "host").agg(change.alias("change"), any_.alias("n"), was_any.alias("was_n")).first()
             # hosts within k links are reached after k steps, so steps that reach no further host are the last to reach any
             if found["n"] is None or (found["n"] == found["was_n"] and found["change"] < tolerance):
-                return now
+                break
             last = now
-    return now
+    return _shares(now)
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], *, threshold: float = THRESHOLD) -> DataFrame:
@@ -111,13 +128,31 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], *, threshold: flo
     return named.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", of_host).alias("verdict"), "trust", "distrust")
 
 
-def oracle_sql(rules: Sequence[tuple[str, str]]) -> str:
-    """The rules' part in DuckDB's SQL: page_id, host, path and rule."""
+def oracle_sql(rules: Sequence[tuple[str, str]], steps: int = 60) -> str:
+    """The whole judgement in DuckDB's SQL, with a fixed number of steps: page_id, host, path, rule, verdict, trust, distrust."""
     whens = []
-    for _, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
+    for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1], r[0])):
         name, slash, rest = rule.partition("/")
-        whens.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}') THEN '{rule}'")
+        whens.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}') THEN '{verdict} {rule}'")
+    name = lambda url: f"translate(regexp_extract({url}, '{URL}', 1), '{UPPER}', '{LOWER}')"
+    quoted = LINK.replace("'", "''")
     return f"""
-    SELECT page_id, host, path, CASE {' '.join(whens)} END AS rule FROM (
-        SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host,
-               regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages)"""
+    WITH RECURSIVE named AS (SELECT page_id, {name("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path, coalesce(html, '') AS html FROM pages),
+    ruled AS (SELECT *, CASE {' '.join(whens)} END AS fit FROM named),
+    shares AS (SELECT host, avg((coalesce(fit, '') LIKE 'allow %')::INT) AS t, avg((coalesce(fit, '') LIKE 'block %')::INT) AS d FROM ruled WHERE host <> '' GROUP BY host),
+    own AS (SELECT host, coalesce(t / nullif(sum(t) OVER (), 0), 0) AS t, coalesce(d / nullif(sum(d) OVER (), 0), 0) AS d FROM shares),
+    found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{quoted}', 1)) AS link FROM named),
+    ends AS (SELECT src, CASE WHEN starts_with(link, '//') THEN {name("'x:' || link")} WHEN regexp_matches(link, '{FULL}') THEN {name('link')}
+             WHEN regexp_matches(link, '{NO_PAGE}') THEN NULL ELSE src END AS dst FROM found),
+    links AS (SELECT src, dst, count(*)::DOUBLE AS n FROM ends WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+    flows AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS t, n / sum(n) OVER (PARTITION BY dst) AS d FROM links),
+    hosts AS (SELECT host FROM own UNION SELECT src FROM links UNION SELECT dst FROM links),
+    seeds AS (SELECT host, coalesce(t, 0) AS t, coalesce(d, 0) AS d FROM hosts LEFT JOIN own USING (host)),
+    moves AS (SELECT src AS host, dst AS goes, t, 0.0 AS d FROM flows UNION ALL SELECT dst, src, 0.0, d FROM flows UNION ALL SELECT NULL, host, 0.0, 0.0 FROM hosts),
+    walk AS (SELECT 0 AS k, host, t, d FROM seeds
+             UNION ALL SELECT w.k + 1, s.host, {1 - DAMPING} * any_value(s.t) + {DAMPING} * sum(w.t * m.t), {1 - DAMPING} * any_value(s.d) + {DAMPING} * sum(w.d * m.d)
+             FROM seeds s JOIN moves m ON m.goes = s.host JOIN walk w ON w.host = coalesce(m.host, s.host) WHERE w.k < {steps} GROUP BY w.k, s.host),
+    scores AS (SELECT host, coalesce(t / nullif(sum(t) OVER (), 0), 0) AS trust, coalesce(d / nullif(sum(d) OVER (), 0), 0) AS distrust FROM walk WHERE k = {steps})
+    SELECT page_id, host, path, CASE WHEN fit IS NOT NULL THEN substr(fit, strpos(fit, ' ') + 1) END AS rule,
+           coalesce(split_part(fit, ' ', 1), CASE WHEN distrust > {THRESHOLD} * trust THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 9) AS trust, round(distrust, 9) AS distrust
+    FROM ruled LEFT JOIN scores USING (host)"""
