@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -89,8 +90,12 @@ def test_quality(spark, empty):
     table = frame(spark, list(enumerate(good + bad + ODD)) + [(None, good[0])])
     got = {r["doc_id"]: r["keep"] for r in quality.judged(table).collect()}
     assert sum(got[k] for k in range(120)) >= 118 and sum(got[k] for k in range(120, 160)) <= 2
+    table = table.withColumn("quality", F.lit("own")).withColumn("_quality", F.lit("own"))
     kept = quality.accepted(table)
-    assert kept.columns == table.columns and kept.where("doc_id is null").count() == 1
+    assert kept.dtypes == table.dtypes and kept.where("doc_id is null and quality = 'own' and _quality = 'own'").count() == 1
+    long = frame(spark, [(1, " ".join(good)) if k % 3 else (1, " ".join(bad[k % 30 :])) for k in range(30)])  # one id, texts over PIECE alone
+    scores = [(r["text"] in " ".join(good), r["score"]) for r in quality.scored(long, quality.trained(long, sample=20, piece=3000), "score").collect()]
+    assert min(s for g, s in scores if g) > 0.5 > max(s for g, s in scores if not g)
     assert quality.judged(empty).count() == 0
 
 
@@ -126,6 +131,14 @@ def test_nearest(spark):
     assert nearest.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_in_doubles(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 1.0 + 1e-9]), (2, [1.0, 1.0 + 1.00005e-9]), (3, [1e39, 0.0]), (4, [-1e300, 1e300]), (5, [1e-320, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in nearest.nearest(df, F.col("vec_id") == 0, 10).orderBy("rank").collect()]
+    want = sorted((float(np.sqrt(((np.array(v) - np.array([1.0, 1.0])) ** 2).sum())), k) for k, v in rows if k)
+    assert got == [(k, x) for x, k in want]
+
+
 # --- 3 ---
 
 
@@ -150,6 +163,16 @@ def test_license_entire_texts(spark):
     assert got == {**dict(enumerate(names)), 20: "MIT", 21: "MIT", 22: "MIT", 23: "Own", 24: None}
 
 
+def test_license_at_each_wrap():
+    """Every known licence, wrapped from 40 to 120 columns."""
+    wrap = lambda t, width: "\n\n".join("\n".join(textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) for p in re.split(r"\n[ \t]*\n\s*", t))
+    ids = license_scan.known()
+    for name, texts in license_texts.KNOWN.items():
+        for width in (40, 47, 55, 60, 61, 62, 68, 72, 76, 79, 80, 95, 100, 120):
+            assert all(ids.get(license_scan.digest(wrap(t, width))) == name for t in texts), (name, width)
+    assert license_scan.canonical("Licence licence, per cent PER CENT") == "license license percent percent"
+
+
 # --- 4 ---
 
 
@@ -217,6 +240,13 @@ def test_warc(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_one_id_with_two_payloads(spark):
+    a, b = "a" * 1000, "b" * 1500
+    pages = spark.createDataFrame([(5, "u", a), (5, "u", b), (3, "u", b), (4, "u", a), (5, "u", "c")], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in warc.round_trip(pages).select("page_id", "payload_bytes", "record_type", F.coalesce("refers_to", F.lit(0))).collect())
+    assert got == [(3, 1500, "revisit", 5), (4, 1000, "revisit", 5), (5, 1, "response", 0), (5, 1000, "response", 0), (5, 1500, "response", 0)]
+
+
 def test_ranges():
     assert warc.coalesced([("a", 0, 5), ("a", 5, 5), ("a", 10 + warc.GAP + 1, 2), ("b", 0, 1)]) == [[("a", 0, 5), ("a", 5, 5)], [("a", 10 + warc.GAP + 1, 2)], [("b", 0, 1)]]
 
@@ -242,6 +272,21 @@ def test_byte_bpe(spark, docs, rows, empty):
     assert byte_bpe.digests(empty, raw, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_long_runs(spark):
+    """Texts of two million characters of one kind, and runs of white space of every kind, as the library has them where it can."""
+    raw = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
+    enc = byte_bpe.encoding(raw, public_tokenizers.PATTERN)
+    kinds = [" ", "\n", "\t", "\u3000", " \n", "a", "中", "!", "1", "é ", "\x1c"]
+    long = [(k, f"x{c * (2_000_000 // len(c))}y") for k, c in enumerate(kinds)]
+    got = {r["doc_id"]: r["decoded_sha256"] for r in byte_bpe.digests(spark.createDataFrame(long, "doc_id long, text string").repartition(4), raw, public_tokenizers.PATTERN).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in long}
+    rng, space = random.Random(6), " \t\n\r\x0b\x0c\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000\x1c\x1f\u200b"
+    for _ in range(60):
+        parts = [rng.choice(["ab", "1", "!", "'s", "é", "", "中 "]) + rng.choice([rng.choice(space) * rng.choice([1, byte_bpe.RUN - 1, byte_bpe.RUN, byte_bpe.RUN + 1]), "".join(rng.choice(space) for _ in range(6000)), " "]) for _ in range(rng.randrange(1, 6))]
+        text = "".join(parts) + rng.choice(["", "z", "'s"])
+        assert byte_bpe.encode_text(enc, text).tolist() == enc.encode_ordinary(text)
+
+
 # --- 7 ---
 
 
@@ -253,9 +298,11 @@ def contained(text, item):
     if not there:
         return None
     own, best = grams(there), None
+    if set(own).isdisjoint(grams(here)):
+        return None
     for start in range(-len(there), len(here)):
         window = grams(here[max(start, 0) : max(start + len(there), 0)])
-        if any(0 <= k - max(-start, 0) < len(window) and window[k - max(-start, 0)] == g for k, g in enumerate(own)):
+        if not set(own).isdisjoint(window):
             a, b = collections.Counter(own), collections.Counter(window)
             both = sum((a & b).values())
             if 100 * both >= 80 * (len(own) + len(window) - both):
@@ -314,6 +361,25 @@ def test_decontaminate_at_any_offset(spark):
     assert {(0, 0), (3, 0), (7, 1), (10, 1)} <= set(want)
 
 
+def test_decontaminate_by_row(spark):
+    """Rows that share an id or have none, each by its own text; a long text that repeats an item; pieces of few places."""
+    item = " ".join(f"q{k}" for k in range(30))
+    rows = [(1, f"x {item} y"), (1, "innocent words that nobody has put into any benchmark"), (None, item), (None, "other innocent words"), (2, f"{item} " * 400), (3, None), (3, item.upper())]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    table = frame(spark, rows).withColumns({"own": F.lit(1), "own_row": F.lit("x"), "row": F.lit(2)})
+    kept = decontaminate.clean(table, bench)
+    assert kept.columns == table.columns and kept.dtypes == table.dtypes
+    assert sorted((r["doc_id"] or 99, r["text"], r["own"], r["own_row"], r["row"]) for r in kept.where("text is not null").collect()) == [(1, rows[1][1], 1, "x", 2), (99, rows[3][1], 1, "x", 2)]
+    assert kept.where("doc_id = 3 and text is null").count() == 1
+    whole = {tuple(r) for r in decontaminate.matches(table, bench).collect()}
+    decontaminate.PIECE, before = 7, decontaminate.PIECE
+    try:
+        assert {tuple(r) for r in decontaminate.matches(table, bench).collect()} == whole
+    finally:
+        decontaminate.PIECE = before
+    assert {(r[0], r[1]) for r in whole} == {(1, 7), (None, 7), (2, 7), (3, 7)}
+
+
 # --- 8 ---
 
 
@@ -344,7 +410,8 @@ def test_propagation(spark):
             s0 = seeds.get(h, (0.0, 0.0))
             new[h] = (0.15 * s0[0] + 0.85 * t, 0.15 * s0[1] + 0.85 * b)
         now = new
-    assert {h: pytest.approx(v) for h, v in now.items()} == got
+    sums = [sum(v[k] for v in now.values()) for k in (0, 1)]
+    assert {h: pytest.approx((v[0] / sums[0], v[1] / sums[1])) for h, v in now.items()} == got
     assert got["x"][1] > got["z"][1] > 0 and got["c"][0] == got["d"][0] > 0
     pages = spark.createDataFrame([(1, "http://a/", '<a href="http://B/x">'), (2, "http://a/", "<A HREF='//b?q'><a href=/c>"), (3, None, None)], "page_id long, url string, html string")
     assert [tuple(r) for r in url_filter.host_links(pages).collect()] == [("a", "b", 2)]
@@ -362,13 +429,39 @@ def test_propagation_to_the_end(spark):
     along = (count / np.maximum(count.sum(1, keepdims=True), 1)).T
     against = count / np.maximum(count.sum(0, keepdims=True), 1)
     seed = np.array([seeds.get(h, (0.0, 0.0)) for h in names])
-    want = np.stack([np.linalg.solve(np.eye(len(names)) - 0.85 * m, 0.15 * seed[:, k]) for k, m in enumerate((along, against))], 1)
+    want = []
+    for k, m in enumerate((along, against)):  # columns without links go to the seeds
+        full = m + np.outer(seed[:, k], m.sum(0) == 0)
+        want.append(np.linalg.solve(np.eye(len(names)) - 0.85 * full, 0.15 * seed[:, k]))
+    want = np.stack(want, 1)
     df = url_filter.propagated(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"), spark.createDataFrame(links, "src string, dst string, n long"))
     got = {r["host"]: (r["trust"], r["distrust"]) for r in df.collect()}
     assert got == {h: (pytest.approx(want[at[h], 0], abs=1e-8), pytest.approx(want[at[h], 1], abs=1e-8)) for h in names}
     assert got["h0"][1] > got["h0"][0] == 0
 
 
+def test_url_filter_as_sql(spark):
+    """Verdicts that links alone decide, and the same judgement in SQL; the first link changes no score by leaps."""
+    import duckdb
+
+    rows = [(1, "http://good.com/a", "<a href='http://shop.org/'>"), (2, "http://bad.net/es/x", ""), (3, "http://shop.org/", '<a href="http://bad.net/es/x"><a href=/own>'), (4, "http://ring.org/b/c", "<a href=http://bad.net/es/><a href='mailto:a@b'>")]
+    rows += [(5, "http://good.com/b", "<a href=//shop.org/1>"), (6, "http://alone.org/", "<a href=../x#y><a href=javascript:void(0)>"), (7, None, "<a href='http://bad.net/'>"), (8, "http://good.com/c", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.judged(pages, RULES).collect()}
+    assert {k: r["verdict"] for k, r in got.items()} == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.sql(url_filter.oracle_sql(RULES, 200)).df()
+    for r in want.itertuples():
+        mine = got[r.page_id]
+        assert (mine["host"], mine["path"], mine["verdict"]) == (r.host, r.path, r.verdict) and (mine["rule"] or "") == ("" if r.rule is None or r.rule != r.rule else r.rule)
+        assert mine["host"] == "" or (mine["trust"], mine["distrust"]) == (pytest.approx(r.trust, abs=1e-8), pytest.approx(r.distrust, abs=1e-8))
+    alone = pages.withColumn("html", F.lit(""))
+    one = alone.withColumn("html", F.when(F.col("page_id") == 6, F.lit("<a href='http://else.org/'>")).otherwise(F.col("html")))
+    trust = lambda df: {r["page_id"]: r["trust"] for r in url_filter.judged(df, RULES).collect() if r["host"]}
+    assert trust(alone) == {k: pytest.approx(v) for k, v in trust(one).items()}
+
+
 # --- 9 ---
 
 
@@ -418,6 +511,44 @@ def test_minhash_leaves(spark, empty):
     assert rows == [(2, 2, True), (4, 2, False), (4, 2, False), (9, 9, True), (99, None, True)]
 
 
+def test_minhash_repeated_ids(spark):
+    """Texts under one id aren't linked by it, and of each group one row stays."""
+    make = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    x, y, z = make("x"), make("y"), make("z")
+    rows = [(3, y), (5, y), (5, x), (9, x)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.components(frame(spark, rows)).collect())
+    assert got == [(3, 36, 3, True), (5, 36, 3, False), (5, 36, 5, True), (9, 36, 5, False)]
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.one_of_each(frame(spark, rows)).collect()) == [(3, y), (5, x)]
+    rows = [(2, y), (5, y + " more"), (5, x), (5, z), (5, z), (9, z), (None, z), (5, ""), (5, None), (1, None), (5, x + " again")]
+    out = minhash.one_of_each(frame(spark, rows).withColumns({"own_id": F.lit(1), "row": F.lit("r")}))
+    left = sorted((r["doc_id"] or 99, r["text"] or "") for r in out.collect())
+    either = x if (5, x) in left else x + " again"
+    assert left == sorted([(1, ""), (2, y), (5, ""), (5, ""), (5, either), (5, z), (99, z)])
+
+
+def test_minhash_large_group(spark):
+    """Members that differ in different measure from a common origin, some little: pairs grow with the group, not with its square."""
+    rng, base = random.Random(4), [f"b{k}" for k in range(100)]
+    counts = []
+    for n in (60, 240):
+        table = []
+        for k in range(n):
+            t = list(base)
+            for j in rng.sample(range(100), rng.randrange(1, 8)):
+                t[j] = f"n{k}x{j}"
+            table.append((k, " ".join(t)))
+        seen = []
+        before = minhash.compared
+        minhash.compared = lambda pairs, *a, **k: (seen.append(pairs.count()), before(pairs, *a, **k))[1]  # noqa: B023
+        try:
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.components(frame(spark, table), size=2).collect()}
+        finally:
+            minhash.compared = before
+        assert got == near_components(table, 2, 80)
+        counts.append(sum(seen))
+    assert counts[1] < 5 * counts[0], counts
+
+
 # --- 10 ---
 
 

@@ -42,13 +42,18 @@ def test_near_dedup_stage(spark, docs, rows):
     want = near_components(rows, 5, 80)
     assert out.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted([str(i) for i in want if want[i][1] == i] + ["None"])
+    x, y = "one text of five words and more of them here", "some quite other text that nothing else is like at all"
+    repeated = frame(spark, [(3, y), (5, y), (5, x), (9, x)]).withColumn("row", F.lit("own"))
+    out = STAGES["near-dedup"](spark, repeated, "")
+    assert out.dtypes == repeated.dtypes and sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(3, y), (5, x)]
 
 
 def test_suffix_stage(spark, docs, rows):
     out = STAGES["suffix-dedup"](spark, docs, "")
     want = removed(rows, 50)
     got = texts(out.where("doc_id is not null"))
-    assert out.columns == docs.columns
+    assert out.dtypes == docs.dtypes
+    assert {r["kept"] for r in out.collect()} == {"x"} and {r["score"] for r in out.collect()} == {0.5}  # the table's own columns
     assert got == {i: (t if len(want[i]) == len((t or "").encode()) else want[i].decode(errors="ignore")) for i, t in rows}
     assert out.where(F.col("n_chars") != F.length("text")).where("text is not null").count() == 0
 
