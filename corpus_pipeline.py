@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import byte_bpe, decontaminate, minhash, quality, suffix_dedup
-from quire.session import scratch, shared_dir, table
+from quire.session import cleaned, scratch, shared_dir, table, unused
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -27,29 +27,24 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup on five-word shingles at a similarity of 0.8: the smallest id of each group stays.
 
-    Rows that repeat the id that stays are told apart by their text, so one row of equal ones stays.
+    Rows are judged by id and text, so an id that repeats with other texts is several documents; of equal rows one stays.
     """
     shared_dir(spark)
-    groups = minhash.components(docs, size=5, percent=80)
-    kept = docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():  # else no text is shuffled for it
-        several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(several)
-    return kept.select(*docs.columns)
+    return minhash.one_of_each(docs, size=5, percent=80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: byte strings that an earlier document holds are cut out; what a cut leaves of a character goes too."""
-    cut = suffix_dedup.deduplicated(docs)
-    changed = F.size("span_starts") > 0
+    kept, starts = unused("kept", docs), unused("span_starts", docs)
+    cut = suffix_dedup.deduplicated(docs, kept=kept, span_starts=starts, span_ends=unused("span_ends", docs))
+    changed = F.size(starts) > 0
     # invalid bytes at a cut become U+FFFD; where the text had none they are dropped
-    text = F.expr("make_valid_utf8(cast(kept as string))")
+    text = F.call_function("make_valid_utf8", F.col(kept).cast("string"))
     text = F.when(F.contains(F.col("text"), F.lit("�")), text).otherwise(F.replace(text, F.lit("�"), F.lit("")))
     new = F.when(changed, text).otherwise(F.col("text"))
     out = cut.withColumn("text", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -76,10 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from documents; each stage's rows are written to the shared folder and read again."""
+    """All stages, from documents; each stage's rows are written to the shared folder and read again, and what else a stage wrote is removed."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cleaned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
