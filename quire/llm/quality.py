@@ -29,12 +29,13 @@ from quire.session import ship, unused
 SAMPLE, PIECE = 4000, 1 << 13
 LABELLERS = 8
 ABSTAIN, GOOD, BAD = 0, 1, 2
-TABLE_BITS = 16
+TABLE_BITS = 16  # features are 16-bit numbers
 #: Features without weight that each text is held to have besides its own: a short text says little and stays near the bias.
 SHRINK = 48
 #: A document with a lower score is rejected: one must be four times as likely bad as good to go.
 LEAST = 0.2
-CHUNK = 4 << 20
+#: Bytes of text that are scored, and fitted, at once.
+CHUNK, FITTED = 4 << 20, 1 << 18
 
 #: Frequent words of four languages. Fixed values.
 STOP_WORDS = (
@@ -160,7 +161,7 @@ def features(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     again = np.zeros(len(w.hash), np.uint64)
     again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
     form = np.minimum(w.end - w.start, 15).astype(np.uint64) * 64 + _CLASS[data[w.end - 1]] * 4 + again * 2 + _UPPER[data[w.end - 1]] if len(w.hash) else np.zeros(0, np.uint64)
-    return [(grams.astype(np.int32), first), ((mix(form + np.uint64(7)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32), w.first)]
+    return [(grams.astype(np.uint16), first), ((mix(form + np.uint64(7)) >> np.uint64(64 - TABLE_BITS)).astype(np.uint16), w.first)]
 
 
 class Scorer:
@@ -177,16 +178,19 @@ class Scorer:
             out += (total[first[1:]] - total[first[:-1]]) / (np.diff(first) + SHRINK)
         return out
 
-    def fit(self, found: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 60, rate: float = 0.3) -> None:
-        """Adam on the cross entropy with the posteriors as targets."""
+    def fit(self, batches: list[list[tuple[np.ndarray, np.ndarray]]], target: np.ndarray, rounds: int = 60, rate: float = 0.3) -> None:
+        """Adam on the cross entropy with the posteriors as targets; each batch of texts is small, so little is held at once."""
         n = max(len(target), 1)
         even = float(np.clip(target.mean(), 0.02, 0.98)) if len(target) else 0.5
         self.bias = np.log(even / (1 - even))  # what a text without features is held to be
         state = [np.zeros_like(self.weights), np.zeros_like(self.weights)]
+        cuts = np.cumsum([0, *(len(found[0][1]) - 1 for found in batches)])
         for t in range(1, rounds + 1):
-            error = (1 / (1 + np.exp(-np.clip(self.margins(found), -30, 30))) - target) / n
-            grad = np.array([np.bincount(ids, weights=np.repeat(error / (np.diff(first) + SHRINK), np.diff(first)), minlength=1 << TABLE_BITS) for ids, first in found])
-            grad += 1e-7 * self.weights
+            grad = 1e-7 * self.weights
+            for found, a, b in zip(batches, cuts[:-1], cuts[1:], strict=True):
+                error = (1 / (1 + np.exp(-np.clip(self.margins(found), -30, 30))) - target[a:b]) / n
+                for own, (ids, first) in zip(grad, found, strict=True):
+                    own += np.bincount(ids, weights=np.repeat(error / (np.diff(first) + SHRINK), np.diff(first)), minlength=1 << TABLE_BITS)
             state[0] = 0.9 * state[0] + 0.1 * grad
             state[1] = 0.99 * state[1] + 0.01 * grad * grad
             self.weights -= rate * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-12)
@@ -209,11 +213,15 @@ def trained(documents: DataFrame, *, sample: int = SAMPLE, piece: int = PIECE) -
     rate = min(1.0, (2 * sample + 100) / counts.sum())
     rows = rows.where((F.col("near") / F.lit(2.0**64) + F.lit(0.5)) <= F.lit(rate)) if rate < 1 else rows
     start = F.pmod(F.xxhash64("near"), F.greatest(F.length("text") - (piece - 1), F.lit(1))).cast("int") + 1
-    column = rows.select("near", F.substring("text", start, F.lit(piece)).alias("text")).orderBy("near", "text").limit(sample).select("text").toArrow().column("text").combine_chunks()
-    if not len(column):  # there is no text at all
-        return scorer
-    data, at = arrowtools.flat_utf8(column)
-    scorer.fit(features(data, at), posterior(pattern(votes(data, at)), prior, chance))
+    chosen = rows.select("near", F.substring("text", start, F.lit(piece)).alias("text")).orderBy("near", "text").limit(sample).select("text").toArrow()
+    batches, target = [], []
+    for whole in chosen.to_batches():
+        for batch in arrowtools.slices(whole, "text", FITTED):
+            data, at = arrowtools.flat_utf8(batch.column("text"))
+            batches.append(features(data, at))
+            target.append(posterior(pattern(votes(data, at)), prior, chance))
+    if batches:  # else there is no text at all
+        scorer.fit(batches, np.concatenate(target))
     return scorer
 
 
