@@ -10,8 +10,8 @@ Scoring runs forward-backward over whole texts: long ones are cut into chunks wh
 marginals are those of the whole sequence. Tokens with a marginal of at least one half make the spans; a document's score is a
 logistic function of its largest marginal and of the summed ones, fitted on the training documents.
 
-Fitting takes up to ``SAMPLE`` labelled documents of each label, those with the least hashes of doc_id; of them the texts of at
-most ``SAMPLE_BYTES`` bytes mark forms, and ``FITTED`` of each label train the field. Nothing but texts and labels goes in.
+Fitting takes up to ``sample`` labelled documents of each label, those with the least hashes of doc_id; of them the texts of at
+most ``longest`` bytes mark forms, and ``fitted`` of each label train the field. Nothing but texts and labels goes in.
 
 Defined results: a null or empty text has no tokens and the score of that; labels that are null or other than 0 and 1 are
 left out, repeated ones count once with the largest; with no usable label of either kind every score is 0; a null doc_id is
@@ -32,12 +32,12 @@ from quire.llm import arrowtools
 from quire.llm.words import words
 from quire.session import ship
 
-#: Toxic and other documents of the sample, the part of each that trains the field, and the longest text among them.
+#: Toxic and other documents of the sample, the part of each that trains the field, and the longest text among them. Defaults of ``sample``, ``fitted`` and ``longest``.
 SAMPLE, FITTED, SAMPLE_BYTES = (1500, 4500), 800, 1 << 14
 HEADS = (3, 4, 5, 6)
 TABLE_BITS = 18
 #: A form marks tokens if this share of the documents that have it are toxic (sample sizes evened out) and the log-likelihood ratio against chance is this large.
-LEAST_SHARE, LEAST_RATIO = 0.97, 32.0
+LEAST_SHARE, LEAST_RATIO = 0.95, 16.0
 CHUNK, STEPS = 4 << 20, 256
 
 _GAP = np.ones(256, bool)
@@ -185,11 +185,11 @@ def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(column: pa.Array, toxic: np.ndarray, rounds: int = 40, rate: float = 0.5) -> Model:
+def fit(column: pa.Array, toxic: np.ndarray, rounds: int = 40, rate: float = 0.5, *, fitted: int = FITTED) -> Model:
     """The model for a sample of texts and their labels."""
     found = tokens(column)
     marked = weak_labels(found, toxic)
-    chosen = np.sort(np.concatenate([np.flatnonzero(toxic)[:FITTED], np.flatnonzero(~toxic)[:FITTED]]))
+    chosen = np.sort(np.concatenate([np.flatnonzero(toxic)[:fitted], np.flatnonzero(~toxic)[:fitted]]))
     toxic = toxic[chosen]
     own = np.concatenate([np.arange(found.first[d], found.first[d + 1]) for d in chosen])
     count = np.diff(found.first)[chosen]
@@ -237,17 +237,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: tuple[int, int] = SAMPLE) -> Model | None:
+def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic", *, sample: tuple[int, int] = SAMPLE, fitted: int = FITTED, longest: int = SAMPLE_BYTES) -> Model | None:
     """The model from the rows that aren't held out; None without labels of both kinds."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_label"))
     near = F.xxhash64("doc_id")
     chosen = [usable.where(F.col("_label") == k).orderBy(near, "doc_id").limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
     chosen = chosen[0].unionByName(chosen[1])  # as many rows as sample says at most
-    rows = documents.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").orderBy(near, "doc_id").limit(2 * sum(sample)).select("text", "_label").toArrow()
+    rows = documents.select("doc_id", "text").where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id").orderBy(near, "doc_id").limit(2 * sum(sample)).select("text", "_label").toArrow()
     toxic = np.asarray(rows.column("_label").combine_chunks() if rows.num_rows else [], dtype=np.int64) == 1
     if not toxic.any() or toxic.all():
         return None
-    return fit(rows.column("text").combine_chunks(), toxic)
+    return fit(rows.column("text").combine_chunks(), toxic, fitted=fitted)
 
 
 def scored(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -288,7 +288,7 @@ def scored(documents: DataFrame, model: Model | None) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, span_starts array<long>, span_ends array<long>")
 
 
-def judged(documents: DataFrame, labels: DataFrame, label: str = "toxic", *, least: float = 0.5) -> DataFrame:
+def judged(documents: DataFrame, labels: DataFrame, label: str = "toxic", *, least: float = 0.5, sample: tuple[int, int] = SAMPLE, fitted: int = FITTED, longest: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted, n_spans of every document."""
-    out = scored(documents, trained(documents, labels, label))
+    out = scored(documents, trained(documents, labels, label, sample=sample, fitted=fitted, longest=longest))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), F.size("span_starts").alias("n_spans"))
