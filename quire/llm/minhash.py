@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from quire.session import remove, scratch, shared_dir, ship, unused, written
 BITS, BANDS, ROWS = 8, 42, 6
 #: Leaves of one centre that may share a shingle before it counts as the centre's.
 COMMON = 8
+#: Words of the bitmaps by which leaves are held against each other.
+WORDS = 32
 #: Partners of one text that a task compares it with.
 SPLIT = 256
 #: Bytes of text that are hashed at once.
@@ -121,14 +124,14 @@ def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int, *, novel: bool = False) -> DataFrame:
-    """a, b, size_a, size_b, common on the full sets; with ``novel`` also the shingles of b that a lacks."""
-    kinds = "a long, b long, size_a long, size_b long, common long" + ", novel array<long>" * novel
+    """a, b, size_a, size_b, common on the full sets; with ``novel`` also the shingles of b that a lacks, and a bitmap of all of b's in ``WORDS`` words of 64 bits."""
+    kinds = "a long, b long, size_a long, size_b long, common long" + ", novel array<long>, bitmap array<long>" * novel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, np.zeros(0, np.uint64)
         for whole in batches:
             for batch in arrowtools.slices(whole, "text_b", CHUNK):
-                rows, more = [], []
+                rows, more, maps = [], [], []
                 starts = batch.column("text_a")
                 for k, (a, there) in enumerate(zip(batch.column("a").to_pylist(), text_sets(batch.column("text_b"), size), strict=True)):
                     if a != last:
@@ -138,10 +141,13 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, *, novel: bool = Fal
                     rows.append((len(kept), len(there), int((both[1:] == both[:-1]).sum())))
                     if novel:
                         more.append(np.setdiff1d(there, kept, assume_unique=True).view(np.int64))
+                        bits = np.zeros(64 * WORDS, np.uint8)
+                        bits[(there % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+                        maps.append(np.packbits(bits).view(np.int64))
                 made = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
                 if novel:
-                    made.append(pa.array(more, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], ["a", "b", "size_a", "size_b", "common", *["novel"] * novel])
+                    made += [pa.array(more, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], ["a", "b", "size_a", "size_b", "common", *["novel", "bitmap"] * novel])
 
     return _beside(pairs, texts).mapInArrow(run, kinds)
 
@@ -200,7 +206,9 @@ def leaf_pairs(named: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     Let c be the centre's set with all shingles that over ``COMMON`` of its leaves have. Of two leaves x and y, either
     both have a shingle that isn't in c, which at most ``COMMON`` leaves share, or their intersection lies in c and has at
     most min(|x & c|, |y & c|) shingles. So a join on such shingles and a join on sizes find every pair that can reach the
-    similarity; leaves that differ from the centre each in their own way, however many, give few.
+    similarity. Of these, only pairs whose bitmaps allow it are compared: the intersection is at most the bits that both
+    have, and as many more as share a bit in either. Leaves that differ from the centre each in their own way, however
+    many, give few.
     """
     named = named.select("a", "b", "own", "main")
     open_ = named.groupBy("a").agg(F.count("*").alias("n"), F.max(F.col("own") != F.col("main")).alias("apart")).where("n > 1 and apart")
@@ -212,15 +220,21 @@ def leaf_pairs(named: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     often = each.groupBy("a", "t").agg(F.count("*").alias("times")).where("times > 1")
     shared = written(each.join(often, ["a", "t"]), "shared-novel")
     in_c = shared.where(F.col("times") > COMMON).groupBy("a", "b").agg(F.count("*").alias("h"))
+    held = reduce(lambda x, y: x + y, (F.bit_count(F.get("bitmap", F.lit(k))) for k in range(WORDS)))
+    width = float(np.log(101 / percent))  # sizes that can be similar enough lie in one bin or the next
     leaves = full.drop("novel", "size_a").join(in_c, ["a", "b"], "left").join(wanted, ["a", "b"])
-    leaves = written(leaves.select("a", "b", "own", "main", F.col("size_b").alias("n"), (F.col("common") + F.coalesce("h", F.lit(0))).alias("i"), F.floor(F.log(F.col("size_b").cast("double")) / F.lit(np.log(1.05))).alias("bin")), "leaves")
-    reach = int(np.ceil(np.log(100 / percent) / np.log(1.05))) + 1
+    leaves = written(leaves.select("a", "b", "own", "main", F.col("size_b").alias("n"), "bitmap", (F.col("size_b") - held).alias("more"), (F.col("common") + F.coalesce("h", F.lit(0))).alias("i"), F.floor(F.log(F.col("size_b").cast("double")) / F.lit(width)).alias("bin")), "leaves")
     side = lambda df, s, *columns: df.select("a", *(F.col(c).alias(f"{c}_{s}") for c in columns))
-    left = side(leaves.where("own <> main"), "x", "b", "own", "n", "i", "bin").withColumn("bin", F.explode(F.sequence(F.col("bin_x") - reach, F.col("bin_x") + reach)))
-    right = side(leaves, "y", "b", "own", "n", "i", "bin").withColumnRenamed("bin_y", "bin")
-    by_size = left.join(right, ["a", "bin"]).where((F.col("own_x") != F.col("own_y")) & linked("n_x", "n_y", F.least("i_x", "i_y"), percent))
-    rare = shared.where(F.col("times") <= COMMON).join(wanted, ["a", "b"])
-    by_shingle = side(rare.where("own <> main"), "x", "b", "own", "t").join(side(rare, "y", "b", "own", "t").withColumnRenamed("t_y", "t_x"), ["a", "t_x"]).where("own_x <> own_y")
+    known = ("b", "own", "n", "bitmap", "more")
+    left = side(leaves.where("own <> main"), "x", *known, "i", "bin").withColumn("bin", F.explode(F.sequence(F.col("bin_x") - 1, F.col("bin_x") + 1)))
+    right = side(leaves, "y", *known, "i", "bin").withColumnRenamed("bin_y", "bin")
+    both = (F.bit_count(F.get("bitmap_x", F.lit(k)).bitwiseAND(F.get("bitmap_y", F.lit(k)))) for k in range(WORDS))
+    most = reduce(lambda x, y: x + y, both, F.least("more_x", "more_y"))
+    apart = (F.col("own_x") != F.col("own_y")) & linked("n_x", "n_y", F.least("n_x", "n_y"), percent)
+    by_size = left.join(right, ["a", "bin"]).where(apart & linked("n_x", "n_y", F.least("i_x", "i_y"), percent) & linked("n_x", "n_y", most, percent))
+    rare = shared.where(F.col("times") <= COMMON).select("a", "b", "t").join(leaves, ["a", "b"])
+    rare_y = side(rare, "y", *known, "t").withColumnRenamed("t_y", "t_x")
+    by_shingle = side(rare.where("own <> main"), "x", *known, "t").join(rare_y, ["a", "t_x"]).where(apart & linked("n_x", "n_y", most, percent))
     pair = [F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")]
     return written(by_size.select(*pair).unionByName(by_shingle.select(*pair)).distinct(), "leaf-pairs")
 

@@ -35,7 +35,7 @@ SHRINK = 48
 #: A document with a lower score is rejected: one must be four times as likely bad as good to go.
 LEAST = 0.2
 #: Bytes of text that are scored, and fitted, at once.
-CHUNK, FITTED = 4 << 20, 1 << 18
+CHUNK, FITTED = 1 << 20, 1 << 18
 
 #: Frequent words of four languages. Fixed values.
 STOP_WORDS = (
