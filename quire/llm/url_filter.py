@@ -28,6 +28,8 @@ DAMPING, WRITE_EVERY, THRESHOLD = 0.85, 4, 1.0
 TOLERANCE = 1e-9
 #: Rules stand in the plan itself, so their number has a bound.
 MOST_RULES = 1000
+#: Hosts whose scores are broadcast to the pages (about 100 bytes each).
+MOST_BROADCAST = 500_000
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: What a page links to, and the start of targets that name a host (others stay on the page's) or are no page.
@@ -123,7 +125,9 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], *, threshold: flo
     totals = shares.agg(F.sum("trust").alias("all_t"), F.sum("distrust").alias("all_d")).first()
     norm = lambda c, total: (F.col(c) / F.lit(total) if total else F.lit(0.0)).alias(c)
     seeds = shares.select("host", norm("trust", totals["all_t"]), norm("distrust", totals["all_d"]))
-    scores = propagated(seeds, host_links(pages))
+    scores = written(propagated(seeds, host_links(pages)), "host-scores")
+    if scores.count() <= MOST_BROADCAST:  # else a sort-merge join, whose hot hosts Spark splits
+        scores = F.broadcast(scores)
     of_host = F.when(F.col("distrust") > F.lit(threshold) * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
     return named.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", of_host).alias("verdict"), "trust", "distrust")
 
