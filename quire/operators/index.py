@@ -8,15 +8,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.functions import analysis
+from quire.functions import analysis, stem
+from quire.session import unused, written
+
+Endings = tuple[tuple[str, str], ...]
 
 
 @dataclass(frozen=True)
 class Collection:
-    """docs(docnum, text), postings(term, docnum, f_dt), lexicon(term, f_t, cf_t), weights(docnum, w), meta(n_docs, n_words, n_bytes)."""
+    """docs(docnum, text), postings(term, docnum, f_dt), lexicon(term, f_t, cf_t), weights(docnum, w), meta(n_docs, n_words, n_bytes).
+
+    ``endings`` are those that terms are stemmed by, if they are (see ``functions.stem``).
+    """
 
     docs: DataFrame
     postings: DataFrame
@@ -25,35 +32,49 @@ class Collection:
     meta: DataFrame
     fold: bool = True
     markup: bool = False
+    endings: Endings = ()
 
     TABLES = ("docs", "postings", "lexicon", "weights", "meta")
 
-    def save(self, path: str, partitions: int | None = None) -> None:
-        """Parquet tables; postings and lexicon are sorted by term, so that a query reads few row groups."""
-        n = partitions or int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        for name in self.TABLES:
-            df = getattr(self, name)
-            if name == "postings":
-                df = df.repartitionByRange(n, "term", "docnum").sortWithinPartitions("term", "docnum")
-            elif name == "lexicon":
-                df = df.repartitionByRange(n, "term").sortWithinPartitions("term")
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-
     @classmethod
-    def open(cls, spark: SparkSession, path: str, *, fold: bool = True, markup: bool = False) -> Collection:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.TABLES), fold=fold, markup=markup)
+    def open(cls, spark: SparkSession, path: str, *, last: int | None = None, **options: object) -> Collection:
+        """The tables under ``path`` up to the last batch that was finished, or up to ``last``; options as in ``build``."""
+        meta = spark.read.parquet(f"{path}/meta")
+        last = meta.agg(F.max("batch")).first()[0] if last is None else last
+        read = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("batch") <= last).drop("batch")
+        words = read("lexicon")
+        if last:  # each batch has its own counts; a filter on terms still reaches the scan
+            words = words.groupBy("term").agg(F.sum("f_t").alias("f_t"), F.sum("cf_t").alias("cf_t"))
+        return cls(read("docs"), read("postings"), words, read("weights"), meta.where(F.col("batch") == last).drop("batch"), **options)
+
+    def indexed(self, docs: DataFrame) -> DataFrame:
+        """The postings of other documents, analysed as this collection's are."""
+        return postings(docs, fold=self.fold, markup=self.markup, endings=self.endings)
+
+    def query_terms(self, words: list[str]) -> list[str]:
+        """Words as the lexicon has them."""
+        words = [w.lower() if self.fold else w for w in words]
+        return [stem.stemmed(w, self.endings) for w in words] if self.endings else words
 
 
 def numbered(docs: DataFrame, key: str) -> DataFrame:
-    """docs with docnum: 1, 2, ... in the order of ``key``, without a single-partition window: partitions by range, then offsets."""
-    parts = docs.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % F.lit(1 << 33))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("n")).collect()  # a row a partition
-    offset, total = {}, 0
-    for row in sorted(counts):
-        offset[row["_part"]] = total
-        total += row["n"]
-    lookup = F.create_map(*(F.lit(x) for pair in offset.items() for x in pair)) if offset else F.create_map().cast("map<int,int>")
-    return parts.withColumn("docnum", (lookup[F.col("_part")] + F.col("_at") + 1).cast("long")).drop("_part", "_at")
+    """docs with docnum: 1, 2, ... in the order of ``key``, then of a hash of the row, without a single-partition window.
+
+    The rows are written once in ranges of the key, each with its partition and its place there; the numbers of rows in
+    the partitions, counted on what was written, then give each partition its offset. Nothing depends on ranges or rows
+    being dealt alike a second time.
+    """
+    part, at, tie, offset = (unused(n, docs) for n in ("part", "at", "tie", "offset"))
+    rows = docs.withColumn(tie, F.xxhash64(*(c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType))))
+    rows = rows.repartitionByRange(F.col(key), F.col(tie)).sortWithinPartitions(key, tie)
+    rows = rows.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = written(rows, "numbered")
+    total, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).count().collect()):  # a row a partition
+        offsets.append((p, total))
+        total += n
+    offsets = docs.sparkSession.createDataFrame(offsets, f"`{part}` int, `{offset}` long")
+    return rows.join(F.broadcast(offsets), part).withColumn("docnum", F.col(offset) + F.col(at) + 1).drop(part, at, tie, offset)
 
 
 def occurrences(docs: DataFrame, *, fold: bool = True, markup: bool = False) -> DataFrame:
@@ -61,9 +82,13 @@ def occurrences(docs: DataFrame, *, fold: bool = True, markup: bool = False) ->
     return docs.select("docnum", F.explode_outer(analysis.terms(F.col("text"), fold=fold, markup=markup)).alias("term")).where("term is not null")
 
 
-def postings(docs: DataFrame, *, fold: bool = True, markup: bool = False) -> DataFrame:
-    """term, docnum, f_dt."""
-    return occurrences(docs, fold=fold, markup=markup).groupBy("term", "docnum").agg(F.count("*").alias("f_dt"))
+def postings(docs: DataFrame, *, fold: bool = True, markup: bool = False, endings: Endings = ()) -> DataFrame:
+    """term, docnum, f_dt. With ``endings`` the different words are stemmed, not each occurrence."""
+    found = occurrences(docs, fold=fold, markup=markup).groupBy("term", "docnum").agg(F.count("*").alias("f_dt"))
+    if not endings:
+        return found
+    stems = found.select("term").distinct().select("term", stem.stem(F.col("term"), endings).alias("stem"))
+    return found.join(stems, "term").groupBy(F.col("stem").alias("term"), "docnum").agg(F.sum("f_dt").alias("f_dt"))
 
 
 def lexicon(posted: DataFrame) -> DataFrame:
@@ -99,23 +124,62 @@ def approximate_weights(exact: DataFrame, bits: int = 6) -> DataFrame:
     return exact.select("docnum", code.alias("code")).withColumn("approx", F.lit(low) * F.pow(F.lit(base), "code"))
 
 
-def build(docs: DataFrame, *, fold: bool = True, markup: bool = False) -> Collection:
+def build(docs: DataFrame, *, fold: bool = True, markup: bool = False, endings: Endings = ()) -> Collection:
     """The collection of docs(docnum, text), lazily."""
-    posted = postings(docs, fold=fold, markup=markup)
+    posted = postings(docs, fold=fold, markup=markup, endings=endings)
     words = lexicon(posted)
-    return Collection(docs, posted, words, weights(posted, words, docs.count()), statistics(docs, words), fold, markup)
-
-
-def saved(docs: DataFrame, path: str, **options: bool) -> Collection:
-    """Builds step by step on written tables, so nothing is computed twice and a lost executor costs one step."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
-    postings(docs, **options).repartitionByRange(n, "term", "docnum").sortWithinPartitions("term", "docnum").write.mode("overwrite").parquet(f"{path}/postings")
-    posted = spark.read.parquet(f"{path}/postings")
-    lexicon(posted).repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
-    words = spark.read.parquet(f"{path}/lexicon")
-    weights(posted, words, docs.count()).write.mode("overwrite").parquet(f"{path}/weights")
-    statistics(docs, words).write.mode("overwrite").parquet(f"{path}/meta")
-    return Collection.open(spark, path, **options)
+    return Collection(docs, posted, words, weights(posted, words, docs.count()), statistics(docs, words), fold, markup, endings)
+
+
+def write_batch(path: str, number: int, name: str, df: DataFrame) -> DataFrame:
+    """One batch's part of a table, read back; a repeated batch replaces it."""
+    where = f"{path}/{name}/batch={number}"
+    df.write.mode("overwrite").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def by_term(df: DataFrame, *keys: str) -> DataFrame:
+    """Range-partitioned and sorted by term, so that a query reads few row groups."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+
+
+def saved(docs: DataFrame, path: str, *, endings: Endings = (), **options: bool) -> Collection:
+    """Builds step by step on written tables, so nothing is computed twice and a lost executor costs one step.
+
+    The meta table, written last, tells that the batch is whole.
+    """
+    docs = write_batch(path, 0, "docs", docs)
+    posted = write_batch(path, 0, "postings", by_term(postings(docs, endings=endings, **options), "term", "docnum"))
+    words = write_batch(path, 0, "lexicon", by_term(lexicon(posted), "term"))
+    write_batch(path, 0, "weights", weights(posted, words, docs.count()))
+    write_batch(path, 0, "meta", statistics(docs, words))
+    return Collection.open(docs.sparkSession, path, endings=endings, **options)
+
+
+#: Paragraphs of a document are numbered from the document's number times this.
+PARAGRAPHS = 1 << 24
+
+
+def paragraphs(docs: DataFrame, mark: str = "\n") -> DataFrame:
+    """docnum (of the paragraph: its document's times PARAGRAPHS, plus its place), text: the units of an index by paragraphs."""
+    parts = docs.select("docnum", F.posexplode_outer(analysis.paragraphs(F.col("text"), mark)).alias("paragraph", "text")).where("text is not null")
+    return parts.select((F.col("docnum") * F.lit(PARAGRAPHS) + F.col("paragraph")).alias("docnum"), "text")
+
+
+def paragraph_of(number: Column) -> tuple[Column, Column]:
+    """The document and the place in it of a paragraph's number."""
+    return F.floor(number / F.lit(PARAGRAPHS)), (number % F.lit(PARAGRAPHS)).cast("int")
+
+
+def paragraph_counts(docs: DataFrame, mark: str = "\n") -> DataFrame:
+    """docnum, n_paragraphs."""
+    return docs.select("docnum", F.size(analysis.paragraphs(F.col("text"), mark)).cast("long").alias("n_paragraphs"))
+
+
+def term_numbers(words: DataFrame) -> DataFrame:
+    """term_no (from 0, in order), term, prefix: how many characters a term shares with the one before it, as front coding leaves out."""
+    found = numbered(words.select("term"), "term").select((F.col("docnum") - 1).alias("term_no"), "term")
+    before = found.select((F.col("term_no") + 1).alias("term_no"), F.col("term").alias("last"))
+    shared = F.aggregate(F.sequence(F.lit(1), F.length("term")), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.substring("term", k, F.lit(1)) == F.substring("last", k, F.lit(1))), k).otherwise(n))
+    return found.join(before, "term_no", "left").select("term_no", "term", F.coalesce(shared, F.lit(0)).cast("long").alias("prefix"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,10 @@ def passes(text: Column, pattern: str | None, *, verbatim: bool = False) -> Colu
         return F.lit(True)
     if verbatim:
         return F.instr(text, pattern) > 0
-    try:
-        re.compile(java_pattern(pattern))
-    except re.error:
+    jvm = SparkContext._active_spark_context._jvm
+    try:  # by the engine that runs it
+        jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+    except (Py4JJavaError, IllegalArgumentException):
         return F.lit(True)
     return F.coalesce(F.rlike(text, F.lit(java_pattern(pattern))), F.lit(False))
 
@@ -61,3 +65,38 @@ def separated(template: str, docnum: Column, weight: Column) -> Column:
     """A separator with %n (number), %w (weight) and %% filled in."""
     parts = [{"%n": docnum.cast("string"), "%w": F.format_number(weight, 6), "%%": F.lit("%")}.get(p, F.lit(p)) for p in re.findall(r"%[nw%]|[^%]+|%", template)]
     return F.concat(*parts) if parts else F.lit("")
+
+
+def whole(docs: DataFrame, end: str = "\x02") -> DataFrame:
+    """docnum, text: the whole collection in order, each text with its end mark."""
+    return docs.select("docnum", F.concat(F.coalesce("text", F.lit("")), F.lit(end)).alias("text")).orderBy("docnum")
+
+
+def with_names(answers: DataFrame, names: DataFrame, weight: str = "weight") -> DataFrame:
+    """name, docnum, weight: answers as lists of judged collections have them."""
+    return answers.join(names, "docnum").select("name", "docnum", F.col(weight).alias("weight"))
+
+
+def with_paragraphs(answers: DataFrame, docs: DataFrame, best: DataFrame, separator: str = "\n", mark: str = "**") -> DataFrame:
+    """docnum, text: the paragraphs joined by a separator, the best one (docnum, paragraph) between marks."""
+    parts = analysis.paragraphs(F.col("text"))
+    marked = F.transform(parts, lambda p, k: F.when(k == F.col("paragraph"), F.concat(F.lit(mark), p, F.lit(mark))).otherwise(p))
+    return answers.select("docnum").join(docs, "docnum").join(best.select("docnum", "paragraph"), "docnum", "left").select("docnum", F.array_join(marked, separator).alias("text"))
+
+
+_SINGLE = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "\\": "\\", '"': '"', "'": "'", "": "\\"}
+
+
+def unescaped(text: str) -> str:
+    """A setting's backslash escapes as the characters they stand for: letters, \\x with two hexadecimal digits, up to three octal ones.
+
+    Other escapes are dropped; a backslash at the end stands for itself.
+    """
+
+    def one(m: re.Match) -> str:
+        what = m[1]
+        if what[:1] == "x":
+            return chr(int(what[1:] or "0", 16))
+        return chr(int(what, 8) & 255) if what[:1].isdigit() else _SINGLE.get(what, "")
+
+    return re.sub(r"\\(x[0-9A-Fa-f]{0,2}|[0-7]{1,3}|.|$)", one, text, flags=re.DOTALL)

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.analysis import TERM
-from quire.operators.index import Collection
+from quire.functions.stem import stemmed
+from quire.operators.index import Collection, Endings
 
 
 @dataclass(frozen=True)
@@ -41,11 +42,17 @@ class Node:
         return list(dict.fromkeys(own))
 
 
+def tree_lines(node: Node, depth: int = 0) -> list[str]:
+    """The tree, a node a line, parts under their whole."""
+    own = node.term if node.kind == "term" else node.kind
+    return ["  " * depth + own, *(line for p in node.parts for line in tree_lines(p, depth + 1))]
+
+
 class QueryError(ValueError):
     """The query doesn't follow the grammar."""
 
 
-def parse(query: str, *, fold: bool = True) -> Node:
+def parse(query: str, *, fold: bool = True, endings: Endings = ()) -> Node:
     tokens = re.findall(rf"{TERM}|\S", query)
     at = 0
 
@@ -85,7 +92,8 @@ def parse(query: str, *, fold: bool = True) -> Node:
             return Node("all" if token == "*" else "none")
         if not re.fullmatch(TERM, token or ""):
             raise QueryError(f"unexpected {token or 'end'!r} in {query!r}")
-        return Node("term", term=token.lower() if fold else token)
+        word = token.lower() if fold else token
+        return Node("term", term=stemmed(word, endings) if endings else word)
 
     if not tokens:
         raise QueryError("empty query")
@@ -145,7 +153,7 @@ def _predicate(node: Node, has: dict[str, Column]) -> Column:
 
 def matches(c: Collection, query: str | Node) -> DataFrame:
     """docnum of each document that the query holds for: one aggregate, whatever the query."""
-    tree = simplified(parse(query, fold=c.fold) if isinstance(query, str) else query)
+    tree = simplified(parse(query, fold=c.fold, endings=c.endings) if isinstance(query, str) else query)
     found = tree.terms()
     if not found:
         return c.docs.select("docnum").where(F.lit(tree.kind == "all"))
@@ -182,12 +190,13 @@ def matches_by_joins(c: Collection, query: str | Node) -> DataFrame:
                 out = out.join(plan(p.parts[0]), "docnum", "left_anti")
         return out
 
-    return plan(simplified(parse(query, fold=c.fold) if isinstance(query, str) else query))
+    return plan(simplified(parse(query, fold=c.fold, endings=c.endings) if isinstance(query, str) else query))
 
 
-def weighted(c: Collection, query: str) -> DataFrame:
+def weighted(c: Collection, query: str, *, as_written: bool = False) -> DataFrame:
     """docnum, weight: a term weighs words / (100 * log2(cf_t + 1)); a conjunction has its rarest term's weight, a union the sum."""
-    tree = simplified(parse(query, fold=c.fold))
+    tree = parse(query, fold=c.fold, endings=c.endings)
+    tree = tree if as_written else simplified(tree)
     found = tree.terms()
     words = {r["term"]: r for r in c.lexicon.where(F.col("term").isin(found)).collect()}  # a row a query term
     n_words = c.meta.select("n_words").first()["n_words"]

@@ -15,7 +15,7 @@ from quire.operators.index import Collection
 
 def query_terms(c: Collection, query: str, *, most: int | None = None, by_rarity: bool = True, counts: bool = True) -> list[tuple[str, int, int, int]]:
     """(term, f_qt, f_t, cf_t) of the query's terms that the lexicon has, rarest first, the first ``most``."""
-    found = Counter(t.lower() if c.fold else t for t in re.findall(analysis.TERM, query))
+    found = Counter(c.query_terms(re.findall(analysis.TERM, query)))
     rows = {r["term"]: r for r in c.lexicon.where(F.col("term").isin(list(found))).collect()}  # a row a query term
     out = [(t, n if counts else 1, rows[t]["f_t"], rows[t]["cf_t"]) for t, n in found.items() if t in rows]
     if by_rarity:
@@ -50,16 +50,16 @@ def ranked(c: Collection, query: str, k: int | None = 10, *, max_terms: int | No
     return top(scores(c, query_terms(c, query, most=max_terms, by_rarity=by_rarity, counts=qfreq), level=level), k)
 
 
-def approximately_ranked(c: Collection, query: str, k: int | None = 10, bits: int = 6) -> DataFrame:
+def approximately_ranked(c: Collection, query: str, k: int | None = 10, bits: int = 6, *, max_terms: int | None = None, by_rarity: bool = True, qfreq: bool = True) -> DataFrame:
     """Scores with the weights' lower bounds of ``bits`` bits."""
     weights = index.approximate_weights(c.weights, bits).select("docnum", F.col("approx").alias("w"))
-    return top(scores(c, query_terms(c, query), weights), k)
+    return top(scores(c, query_terms(c, query, most=max_terms, by_rarity=by_rarity, counts=qfreq), weights), k)
 
 
-def limited(c: Collection, query: str, most: int, *, stop: bool = False, k: int | None = 10) -> DataFrame:
-    """Ranked with at most about ``most`` accumulators: when they are full as a term begins, later terms only add to
-    documents that have one (``stop``: no later term counts)."""
-    chosen = query_terms(c, query)
+def limited(c: Collection, query: str, accumulators: int, *, stop: bool = False, k: int | None = 10, approximate: bool = False, **terms: object) -> DataFrame:
+    """Ranked with at most about ``accumulators`` of them: when they are full as a term begins, later terms only add to
+    documents that have one (``stop``: no later term counts). ``terms`` go to ``query_terms``."""
+    chosen = query_terms(c, query, **terms)
     order = {t[0]: j for j, t in enumerate(chosen)}
     spark = c.docs.sparkSession
     ranks = spark.createDataFrame([(t, j) for t, j in order.items()], "term string, j int")
@@ -68,31 +68,52 @@ def limited(c: Collection, query: str, most: int, *, stop: bool = False, k: int
     new = {r["first"]: r["n"] for r in first.groupBy("first").agg(F.count("*").alias("n")).collect()}  # a row a query term
     have, full = 0, len(chosen)
     for j in range(len(chosen)):
-        if have >= most:
+        if have >= accumulators:
             full = j
             break
         have += new.get(j, 0)
     allowed = first.where(F.col("first") < full).select("docnum")
     kept = chosen[:full] if stop else chosen
-    return top(scores(c, kept).join(allowed, "docnum", "left_semi"), k)
+    weights = index.approximate_weights(c.weights).select("docnum", F.col("approx").alias("w")) if approximate else None
+    return top(scores(c, kept, weights).join(allowed, "docnum", "left_semi"), k)
 
 
-def by_paragraph(docs: DataFrame, query: str, *, mark: str = "\n", most_paragraphs: int = 1000, k: int | None = 10) -> DataFrame:
-    """docnum, paragraph, score: documents by their best paragraph among the best ``most_paragraphs``; paragraphs are the indexed units."""
-    parts = docs.select("docnum", F.posexplode_outer(analysis.paragraphs(F.col("text"), mark)).alias("paragraph", "text")).where("text is not null")
-    units = parts.select((F.col("docnum") * F.lit(1 << 24) + F.col("paragraph")).alias("docnum"), "text")
-    found = ranked(index.build(units), query, most_paragraphs)
+def by_paragraph(units: Collection, query: str, *, most_paragraphs: int = 1000, k: int | None = 10, **terms: object) -> DataFrame:
+    """docnum, paragraph, score: documents by their best paragraph among the best ``most_paragraphs``.
+
+    ``units`` is a collection of ``index.paragraphs``, saved once for all queries; ``terms`` go to ``query_terms``.
+    """
+    found = top(scores(units, query_terms(units, query, **terms)), most_paragraphs)
+    doc, paragraph = index.paragraph_of(F.col("docnum"))
     best = Window.partitionBy("doc").orderBy(F.desc(F.round("score", 9)), "docnum")
-    out = found.withColumn("doc", F.floor(F.col("docnum") / F.lit(1 << 24))).withColumn("r", F.row_number().over(best)).where("r = 1")
-    return top(out.select(F.col("doc").alias("docnum"), (F.col("docnum") % F.lit(1 << 24)).cast("int").alias("paragraph"), "score"), k)
+    out = found.withColumn("doc", doc).withColumn("r", F.row_number().over(best)).where("r = 1")
+    return top(out.select(F.col("doc").alias("docnum"), paragraph.alias("paragraph"), "score"), k)
+
+
+def percent(found: DataFrame, weight: str = "score") -> DataFrame:
+    """The answers with ``percent``: the weight from 1 to 100, the best answer's being 100."""
+    best = found.agg(F.max(weight)).first()[0]
+    return found.withColumn("percent", F.round(F.col(weight) / F.lit(best or 1.0) * 99 + 1).cast("int"))
+
+
+def statistics(c: Collection, query: str, k: int | None = 10) -> DataFrame:
+    """One row of what a ranked query took: terms, pointers (postings read), accumulators (documents met), answers, lookups."""
+    chosen = [t[0] for t in query_terms(c, query)]
+    hits = c.postings.where(F.col("term").isin(chosen))
+    met = hits.agg(F.count("*").alias("pointers"), F.count_distinct("docnum").alias("accumulators"))
+    answers = ranked(c, query, k).agg(F.count("*").alias("answers")).first()[0]
+    return met.select(F.lit(len(chosen)).cast("long").alias("terms"), "pointers", "accumulators", F.lit(answers).cast("long").alias("answers"), F.lit(answers).cast("long").alias("lookups"))
 
 
 def similar(c: Collection, queries: DataFrame, k: int = 3) -> DataFrame:
-    """query_id, docnum, score, rank: many queries (query_id, text) at once, joined instead of looped over."""
+    """query_id, docnum, score, rank: many queries (query_id, text) at once, joined instead of looped over.
+
+    Terms that every document has weigh nothing and are left out before they meet postings; hot terms are left to adaptive skew handling.
+    """
     n = c.meta.select("n_docs").first()["n_docs"]
-    asked = index.postings(queries.select(F.col("query_id").alias("docnum"), "text"), fold=c.fold).select("term", F.col("docnum").alias("query_id"), F.col("f_dt").alias("f_qt"))
+    asked = c.indexed(queries.select(F.col("query_id").alias("docnum"), "text")).select("term", F.col("docnum").alias("query_id"), F.col("f_dt").alias("f_qt"))
     idf = F.log(F.lit(float(n)) / F.col("f_t"))
-    hits = c.postings.join(asked.join(c.lexicon, "term"), "term")
+    hits = c.postings.join(asked.join(c.lexicon.where(F.col("f_t") < n), "term"), "term")
     total = hits.groupBy("query_id", "docnum").agg(F.sum(F.col("f_qt") * idf * F.col("f_dt") * idf).alias("total"))
     found = total.join(c.weights, "docnum").where("total > 0 and w > 0").select("query_id", "docnum", (F.col("total") / F.col("w")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "docnum")

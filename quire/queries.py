@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import analysis
+from quire.functions import analysis, stem
 from quire.operators import compression, docsets, index, merge, present
 from quire.operators.index import Collection
 from quire.plans import boolean, ranked
-from quire.session import scratch, table
+from quire.session import scratch, table, written
 
-_built: dict[tuple[str, str], Collection] = {}
+_built: dict[tuple[str, str, str], Collection] = {}
 
 QUERY = "that with the thorn ther idiot er that"
 AND, OR, NOT, CNF, DNF, NONE = "that & with & ther", "idiot | clown | moron", "!the", "(that | der) & !(idiot | clown)", "(that & with) | (der & die) | (les & !des)", "!(the | der | le | el) | _"
@@ -28,9 +28,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection(spark: SparkSession, sf_dir: str) -> Collection:
     """The documents' collection, built once for an application and kept in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    return _kept(spark, sf_dir, "documents", documents)
+
+
+def paragraph_collection(spark: SparkSession, sf_dir: str) -> Collection:
+    """The collection of the documents' paragraphs, likewise."""
+    return _kept(spark, sf_dir, "paragraphs", lambda spark, sf_dir: index.paragraphs(documents(spark, sf_dir)))
+
+
+def stemmed_collection(spark: SparkSession, sf_dir: str) -> Collection:
+    """The collection of stemmed terms, likewise."""
+    return _kept(spark, sf_dir, "stems", documents, endings=stem.SHORT)
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("docnum"), "text")
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, docs: Callable[[SparkSession, str], DataFrame], **options: object) -> Collection:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
-        _built[key] = index.saved(documents(spark, sf_dir), scratch(spark, "collection"))
+        _built[key] = index.saved(docs(spark, sf_dir), scratch(spark, "collection"), **options)
     return _built[key]
 
 
@@ -303,7 +321,7 @@ SELECT doc AS docnum, paragraph, round(score, 6) AS score FROM d WHERE k = 1 ORD
 @_query(_PARAGRAPHS)
 def ranked_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by their best paragraphs."""
-    return _scored(ranked.by_paragraph(documents(spark, sf_dir), QUERY))
+    return _scored(ranked.by_paragraph(paragraph_collection(spark, sf_dir), QUERY))
 
 
 @_query(f"""{BASE}, bt AS (SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, '{analysis.TERM}'))) AS term FROM benchmark),
@@ -320,8 +338,7 @@ def similarity_doc_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_ranked_sql(QUERY).replace("SELECT doc_id AS docnum, unnest", "SELECT conv_id * 1000 + turn AS docnum, unnest").replace("FROM documents", "FROM conversations"))
 def conversations_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best turns."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("docnum"), "text")
-    return _scored(ranked.ranked(index.build(turns), QUERY))
+    return _scored(ranked.ranked(_kept(spark, sf_dir, "turns", turns), QUERY))
 
 
 # --- numbers and presentation --------------------------------------------------------------------------------------
@@ -410,19 +427,84 @@ def merge_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- compression model ---------------------------------------------------------------------------------------------
 
 
-@_query(None)
+_RUNS = "[0-9A-Za-z]+|[^0-9A-Za-z]+"
+#: Tokens as hexadecimal digits: runs of one kind, long ones cut step by step.
+TOKENS = f"""RECURSIVE runs AS (SELECT unnest(regexp_extract_all(text, '{_RUNS}')) AS run FROM documents),
+counted AS (SELECT run, regexp_matches(run, '^[0-9A-Za-z]')::INT AS kind, count(*) AS freq FROM runs GROUP BY run),
+cut AS (SELECT kind, freq, run, hex(encode(run)) AS rest, '' AS tok, 0 AS k FROM counted
+        UNION ALL SELECT kind, freq, run, substr(rest, n + 1), left(rest, n), k + 1
+        FROM (SELECT *, CASE WHEN kind = 0 THEN least(30, length(rest)) ELSE least(30, length(regexp_extract(rest, '^(?:[4-7][0-9A-F])*(?:3[0-9](?:[4-7][0-9A-F])*){{0,{compression.DIGITS}}}'))) END AS n FROM cut WHERE rest <> '')),
+toks AS (SELECT kind, tok, sum(freq)::BIGINT AS freq FROM (SELECT kind, tok, freq FROM cut WHERE k > 0 UNION ALL SELECT 1 - kind, '', freq FROM cut WHERE k > 1) GROUP BY kind, tok)"""
+
+
+def _hex(df: DataFrame) -> DataFrame:
+    return df.select("kind", F.hex("tok").alias("tok"), "freq")
+
+
+def _token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, "tokens")
+    if key not in _built:
+        _built[key] = written(compression.token_statistics(documents(spark, sf_dir)), "tokens")
+    return _built[key]
+
+
+@_query(f"WITH {TOKENS} SELECT kind, tok, freq FROM toks")
 def comp_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies and first occurrences of compression tokens."""
-    return compression.token_statistics(documents(spark, sf_dir))
+    """Frequencies of compression tokens."""
+    return _hex(compression.token_statistics(documents(spark, sf_dir)))
 
 
-@_query(None)
-def dict_select_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 64 KB dictionary of the most frequent tokens."""
-    return compression.dictionary(compression.token_statistics(documents(spark, sf_dir)), 64)
+_CHOSEN = f"""{TOKENS}, sized AS (SELECT *, coalesce(sum(length(tok) // 2 + 8) OVER (PARTITION BY kind ORDER BY freq DESC, length(tok), tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM toks),
+chosen AS (SELECT kind, tok, freq FROM sized WHERE before < 64 * 1024)"""
 
 
-@_query("SELECT (doc_id // 100)::BIGINT AS chunk, count(*) AS n_docs, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY ALL")
+@_query(f"WITH {_CHOSEN} SELECT kind, tok, freq FROM chosen")
+def dict_select_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64 KB dictionary of the most frequent tokens."""
+    return _hex(compression.dictionary(_token_statistics(spark, sf_dir), 64))
+
+
+@_query(f"WITH {_CHOSEN} SELECT kind, tok, freq FROM toks ANTI JOIN chosen USING (kind, tok)")
+def dict_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens that this dictionary lacks."""
+    stats = _token_statistics(spark, sf_dir)
+    return _hex(compression.novel(stats, compression.dictionary(stats, 64)))
+
+
+@_query(f"""WITH {_CHOSEN}, n AS (SELECT kind, sum(freq) AS total, min(freq) AS least FROM toks GROUP BY kind), e AS (SELECT kind, sum(freq) AS freq FROM toks ANTI JOIN chosen USING (kind, tok) GROUP BY kind)
+SELECT kind, count(*) AS n, 1.0::DOUBLE AS kraft, true AS close FROM (SELECT kind FROM chosen UNION ALL SELECT kind FROM e) GROUP BY kind""")
+def dict_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary's codes: how many, whether they use up all bit strings (Kraft's sum is 1) and come within a bit a token of the entropy."""
+    stats = _token_statistics(spark, sf_dir)
+    chosen = compression.dictionary(stats, 64)
+    codes_ = compression.coded(chosen, compression.novel(stats, chosen))
+    total = codes_.groupBy("kind").agg(F.sum("freq").alias("total"))
+    each = codes_.join(total, "kind").withColumn("least", -F.log2(F.col("freq") / F.col("total")))
+    return each.groupBy("kind").agg(
+        F.count("*").alias("n"),
+        F.round(F.sum(F.pow(F.lit(2.0), -F.col("bits"))), 9).alias("kraft"),
+        (F.sum(F.col("freq") * F.col("bits")) < F.sum(F.col("freq") * (F.col("least") + 1))).alias("close"),
+    )
+
+
+@_query(f"""WITH {_CHOSEN}, aside AS (SELECT tok, freq, row_number() OVER (ORDER BY freq DESC, kind, tok) + 1 AS x FROM toks ANTI JOIN chosen USING (kind, tok)),
+low AS (SELECT *, floor(log2(x))::BIGINT AS lo FROM aside)
+SELECT sum(freq * (2 * floor(log2(lo + 1)) + 1 + lo))::BIGINT AS novel_bits, sum(8 * (length(tok) // 2 + 1))::BIGINT AS spelling_bits, 5.5 * (SELECT count(*) FROM documents)::DOUBLE AS end_bits FROM low""")
+def comp_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated bits of novel tokens, their spelling and the documents' ends."""
+    stats = _token_statistics(spark, sf_dir)
+    chosen = compression.dictionary(stats, 64)
+    return compression.compressed_size(chosen, compression.novel(stats, chosen), documents(spark, sf_dir).count()).drop("code_bits")
+
+
+@_query(f"""WITH {TOKENS}, n AS (SELECT kind, sum(freq) AS total FROM toks GROUP BY kind) SELECT kind, round(sum(-freq * log2(freq / total)), 3) AS bits FROM toks JOIN n USING (kind) GROUP BY kind""")
+def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least bits that a code of the tokens takes."""
+    return compression.entropy(_token_statistics(spark, sf_dir)).select("kind", F.round("bits", 3).alias("bits"))
+
+
+@_query("""WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, sum(strlen(text)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS b FROM documents)
+SELECT (b // 65536)::BIGINT AS chunk, max(n)::BIGINT AS n_docs, max(b)::BIGINT AS n_bytes FROM r GROUP BY ALL""")
 def text_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and bytes by hundreds of numbers."""
-    return compression.growth(documents(spark, sf_dir), 100)
+    """Documents and bytes so far, at each 64 KB."""
+    return compression.growth(documents(spark, sf_dir), 64)

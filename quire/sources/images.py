@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-PIXELS = "file string, kind string, width int, height int, most int, pixels binary"
+from quire.session import ship
+
+PIXELS = "file string, kind string, width int, height int, most int, pixels binary, error string"
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -28,6 +30,8 @@ def decoded(raw: bytes) -> tuple[str, int, int, int, np.ndarray]:
     if kind not in ("P1", "P2", "P4", "P5"):
         raise ValueError(f"{kind} is no bitmap or graymap")
     width, height, most = int(head[1]), int(head[2]), int(head[3]) if len(head) > 3 else 1
+    if width < 1 or height < 1:
+        raise ValueError("the image has no pixels")
     if kind == "P1":
         bits = re.sub(rb"#[^\n]*\n|\s", b"", raw[at:])[: width * height]
         pixels = np.frombuffer(bits, np.uint8) - 48
@@ -52,15 +56,29 @@ def encoded(pixels: np.ndarray, most: int = 1) -> bytes:
     return b"P5\n%d %d\n%d\n" % (width, height, most) + pixels.astype(np.uint8).tobytes()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, kind, width, height, most, pixels (a byte each): the images below a folder."""
+#: Files that are images, or descriptions of such.
+NAMES = r"\.p[tgb]m$"
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """file, kind, width, height, most, pixels (a byte each), error: the images of files(path, content); a damaged one has only its error."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                kind, width, height, most, pixels = decoded(raw)
-                row = {"file": [file], "kind": [kind], "width": pa.array([width], pa.int32()), "height": pa.array([height], pa.int32()), "most": pa.array([most], pa.int32()), "pixels": [pixels.tobytes()]}
-                yield pa.RecordBatch.from_pydict(row)
+            for file, raw in zip(batch.column("path"), batch.column("content"), strict=True):
+                try:
+                    kind, width, height, most, pixels = decoded(raw.as_py() or b"")
+                    values = [kind, width, height, most, pixels.tobytes(), None]
+                except ValueError as e:
+                    values = [None, None, None, None, None, str(e)]
+                names = [f.split()[0] for f in PIXELS.split(", ")]
+                kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+                yield pa.RecordBatch.from_arrays([pa.array([v], kinds[f.split()[1]]) for v, f in zip([file.as_py(), *values], PIXELS.split(", "), strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.p[bg]m").load(path)
     return files.select("path", "content").mapInArrow(run, PIXELS)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The images below a folder, as ``parsed`` has them."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.p[bg]m").load(path))

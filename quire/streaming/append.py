@@ -3,32 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from quire.operators import index
+from quire.operators import merge
 from quire.operators.index import Collection
 
 
-def follow(stream: DataFrame, path: str, checkpoint: str, *, fold: bool = True, markup: bool = False) -> StreamingQuery:
-    """Appends a stream of docs(docnum, text) to the tables under ``path``.
+def follow(stream: DataFrame, path: str, checkpoint: str, **options: object) -> StreamingQuery:
+    """Appends a stream of docs(docnum, text) to the saved collection under ``path``; options as in ``index.build``.
 
     A batch's files lie under its own number, and a repeated batch replaces them, so each document counts once.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        posted = index.postings(batch, fold=fold, markup=markup)
-        batch.write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
-        posted.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        index.lexicon(posted).write.mode("overwrite").parquet(f"{path}/lexicon/batch={number}")
-        batch.unpersist()
+        merge.append_saved(path, batch, number=number, **options)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def followed(spark: SparkSession, path: str, *, fold: bool = True, markup: bool = False) -> Collection:
+def followed(spark: SparkSession, path: str, **options: object) -> Collection:
     """The collection of all batches so far."""
-    docs, posted, words = (spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("docs", "postings", "lexicon"))
-    words = words.groupBy("term").agg(F.sum("f_t").alias("f_t"), F.sum("cf_t").alias("cf_t"))
-    return Collection(docs, posted, words, index.weights(posted, words, docs.count()), index.statistics(docs, words), fold, markup)
+    return Collection.open(spark, path, **options)

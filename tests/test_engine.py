@@ -6,10 +6,13 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from quire.functions import analysis
 from quire.operators import compression, docsets, index, merge, present
 from quire.plans import boolean, ranked
+from quire.sources import registry
 from quire.sources import text as sources
 from quire.streaming import append
 
@@ -81,6 +84,23 @@ def test_approximate_weights(coll):
 def test_numbered(spark):
     df = spark.createDataFrame([(f"k{n:03}",) for n in range(50, 0, -1)], "key string")
     assert [(r["key"], r["docnum"]) for r in index.numbered(df, "key").orderBy("key").collect()] == [(f"k{n:03}", n) for n in range(1, 51)]
+    assert index.numbered(df.where("false"), "key").count() == 0
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbered_at_size(spark, adaptive):
+    """A million rows, with ties and a key that a third of them have, get the numbers 1..N in the key's order."""
+    n, before = 1_000_000, spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.xxhash64("id") % 50_000)
+        got = index.numbered(spark.range(n).select(key.alias("key"), F.col("id").alias("part"), F.lit("x").alias("at")), "key")
+        assert got.columns == ["key", "part", "at", "docnum"]
+        order = got.select("docnum", "key").withColumn("next", F.lead("key").over(Window.orderBy("docnum")))
+        row = got.agg(F.count_distinct("docnum").alias("d"), F.min("docnum").alias("a"), F.max("docnum").alias("b")).first()
+        assert tuple(row) == (n, 1, n) and order.where("next < key").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def test_boolean_algebra(coll):
@@ -126,7 +146,7 @@ def test_ranked(coll):
 
 
 def test_paragraphs(docs):
-    got = ranked.by_paragraph(docs, "the", k=None).collect()
+    got = ranked.by_paragraph(index.build(index.paragraphs(docs)), "the", k=None).collect()
     assert {(r["docnum"], r["paragraph"]) for r in got} >= {(7, 0)}
 
 
@@ -148,7 +168,8 @@ def test_presentation(spark, docs):
     assert present.post_filter('a "x y" b') == ("a  b", "x y") and present.post_filter('a " b') == ("a  b", None)
     assert present.java_pattern(r"a\(b\|c\)(") == r"(?m)a(b|c)\("
     assert numbers(docs.where(present.passes(docs.text, "^the"))) == [7]
-    assert numbers(docs.where(present.passes(docs.text, "[", verbatim=False))) == list(range(1, 8))
+    for bad in ("[", "[a[b]"):  # the second is a pattern to Python
+        assert numbers(docs.where(present.passes(docs.text, bad))) == list(range(1, 8))
     marked = docs.where("docnum = 7").select(analysis.highlighted(docs.text, ["the"])).first()[0]
     assert marked == "<B>the</B> <B>the</B> cat\n<B>the</B> dog"
 
@@ -161,6 +182,56 @@ def test_merge(spark, docs, coll):
     assert {r["docnum"]: r["w"] for r in grown.weights.collect()} == pytest.approx({r["docnum"]: r["w"] for r in coll.weights.collect()})
 
 
+def test_append_saved(spark, docs, coll, tmp_path):
+    """Batches of files; a broken or repeated batch is replaced; numbers must be new."""
+    path = str(tmp_path / "c")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert merge.batches(spark, path) == 0
+    merge.append_saved(path, docs.where("docnum <= 3"))
+    merge.append_saved(path, docs.where("docnum = 4"))
+    docs.where("docnum = 5").write.parquet(f"{path}/docs/batch=2")  # a batch that was broken off
+    old = index.Collection.open(spark, path)
+    assert numbers(old.docs) == [1, 2, 3, 4] and merge.batches(spark, path) == 2
+    with pytest.raises(ValueError):
+        merge.append_saved(path, docs.where("docnum = 4"))
+    for _ in range(2):
+        new = merge.append_saved(path, docs.where("docnum > 4"), number=2)
+    assert rows(new.postings) == rows(coll.postings) and rows(new.lexicon) == rows(coll.lexicon) and rows(new.meta) == rows(coll.meta)
+    before = {r["docnum"]: r["w"] for r in old.weights.collect()}
+    after = {r["docnum"]: r["w"] for r in new.weights.collect()}
+    assert {k: after[k] for k in before} == before and set(after) == {r["docnum"] for r in coll.weights.collect()}
+    new = merge.append_saved(path, spark.createDataFrame([(1, "zebra")], docs.schema), renumber=True, weights="exact")
+    whole = index.build(docs.unionByName(spark.createDataFrame([(8, "zebra")], docs.schema)))
+    assert {r["docnum"]: r["w"] for r in new.weights.collect()} == pytest.approx({r["docnum"]: r["w"] for r in whole.weights.collect()})
+
+
+def test_codes():
+    lengths = compression.code_lengths({c: n for n, c in enumerate("abcdefgh", 1)})
+    found = compression.canonical_codes(lengths)
+    assert sum(2.0 ** -n for n in lengths.values()) == 1 and {s: len(c) for s, c in found.items()} == lengths
+    assert not any(a != b and found[b].startswith(found[a]) for a in found for b in found)
+
+
+def test_escapes():
+    assert present.unescaped(r"a\tb\n\x41\1018\q\\") == "a\tb\nAA8\\" and present.unescaped("x\\") == "x\\"
+
+
+def test_best_paragraph_marked(spark, docs):
+    best = spark.createDataFrame([(7, 1)], "docnum long, paragraph int")
+    assert present.with_paragraphs(best, docs, best, " / ").first()["text"] == "the the cat / **the dog**"
+
+
+def test_registry(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "b.txt").write_text("three")
+    table = registry.parsed(f"# name, kind, files\nx\tPARA\t{tmp_path}\ny\tdir2\t{tmp_path}\n")
+    assert [(r["docnum"], r["text"].strip()) for r in registry.numbered(spark, table["x"]).orderBy("docnum").collect()] == [(1, "one"), (2, "two"), (3, "three")]
+    assert registry.documents(spark, table["y"]).count() == 2
+    for bad in ("x\tSQL\t/a", "x\tPARA"):
+        with pytest.raises(ValueError):
+            registry.parsed(bad)
+
+
 def test_compression(spark):
     rng = random.Random(3)
     for _ in range(200):

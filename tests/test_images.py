@@ -35,3 +35,41 @@ def test_marks(spark, tmp_path):
     only = shelf.where(F.col("n") == 2)
     scores = {r["mark"]: r["score"] for r in marks.matched(found, only).collect()}
     assert scores[0] == scores[2] == 0 and scores[1] > 0
+
+
+def test_damaged(spark):
+    files = spark.createDataFrame([("a", b"P5\n3 3\n255\nab"), ("b", images.encoded(PAGE)), ("c", None)], "path string, content binary")
+    got = {r["file"]: (r["width"], r["error"] is None) for r in images.parsed(files).collect()}
+    assert got == {"a": (None, False), "b": (8, True), "c": (None, False)}
+    assert {r["file"] for r in marks.extracted(images.parsed(files)).collect()} == {"b"}
+
+
+def test_components_at_random():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.4, 0.6, 1.0):
+        page = (rng.random((30, 40)) < share).astype(np.uint8)
+        seen, want = np.zeros_like(page), []
+        for y, x in np.argwhere(page):
+            if seen[y, x]:
+                continue
+            todo, own = [(y, x)], []
+            seen[y, x] = 1
+            while todo:
+                a, b = todo.pop()
+                own.append((a, b))
+                for c, d in np.argwhere(page[max(a - 1, 0) : a + 2, max(b - 1, 0) : b + 2]):
+                    c, d = c + max(a - 1, 0), d + max(b - 1, 0)
+                    if not seen[c, d]:
+                        seen[c, d] = 1
+                        todo.append((c, d))
+            want.append((min(b for _, b in own), min(a for a, _ in own), len(own)))
+        assert [(x, y, int(b.sum())) for x, y, b in marks.components(page)] == want
+    assert list(marks.components(np.zeros((3, 3), np.uint8))) == []
+
+
+def test_average_and_quadrants():
+    a, b, c = (np.array(x, np.uint8) for x in ([[1, 1], [1, 0]], [[1, 1], [1, 1]], [[1, 0], [1, 0]]))
+    assert marks.average([a, b, c], [(0, 0)] * 3).tolist() == [[1, 1], [1, 0]]
+    assert marks.average([a], [(0, 0)]).tolist() == a.tolist()
+    assert marks.quadrants(np.ones((4, 4), np.uint8)) == [(0, 0), (0, 2), (2, 0), (2, 2)]
+    assert marks.overlap_difference(a, c, (0, 0), (0, 0)) == 1
