@@ -11,12 +11,13 @@ one key:
    shuffles text.
 2. Each block sends its distinct keys, in packed arrays, to ranges of the key space; a range tells each block which
    of its keys other documents have too.
-3. Each block sends the segments under those keys, each distinct content once. Contents that several documents
+3. Each block sends the segments under those keys, each distinct content once with the smallest id that has it there;
+   their places stay in the block. Contents that several documents
    have whole need no search; among different contents of one key, an enhanced suffix array with its common-prefix
    interval tree (a stack scan that keeps intervals whose suffixes differ in the byte before them) lists the maximal
    repeats with all occurrences. Keys that very many documents have are dealt out by their single windows, so
-   no group grows with the corpus but by its distinct contents.
-4. The removed ranges return to their blocks.
+   of a content that very many documents hold a range sees one row a block.
+4. The smallest id of each content, and ranges that others hold, return to the blocks, which find the places again.
 
 Defined results: a null or empty text has no bytes; a null id counts as larger than every id; rows that repeat an id
 don't remove each other's bytes; equal texts leave only the one with the smallest id; texts may be of any length; an
@@ -38,11 +39,13 @@ from pyspark.sql import types as T
 
 from quire.llm import arrowtools
 from quire.llm.words import mix
-from quire.session import scratch, shared_dir, written
+from quire.session import scratch, shared_dir, ship, written
 
 LEAST, GRAM = 50, 20
 #: Bytes of text in a block, and hashed at once.
 BLOCK, CHUNK = 1 << 20, 1 << 17
+#: Blocks to a range of the key space, at most.
+BLOCKS = 16
 #: Windows of a segment at most.
 WINDOWS = 64
 #: A key that more documents have is dealt out by windows.
@@ -175,6 +178,7 @@ def earlier(contents: list[bytes], ids: list[int], least: int) -> dict[int, list
 
 def _packed(df: DataFrame, name: str, text: str) -> DataFrame:
     """The rows in blocks, written as a table bucketed by block."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -279,58 +283,77 @@ def _shared_keys(sent: DataFrame, hot: int) -> DataFrame:
 
 def _gathered(table: DataFrame, *columns: str) -> DataFrame:
     """The binary values of a block in lists; a block's share is bounded by the block."""
-    return table.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in columns)) if len(columns) == 1 else table.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("parts"))
+    return table.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("parts"))
+
+
+class _Shared:
+    """A block's segments under shared keys, by range, each range's distinct contents in order of first occurrence.
+
+    The same for the same block and keys, so that answers for contents find their places again.
+    """
+
+    def __init__(self, rows: pa.RecordBatch, parts: list[dict], text: str, doc_id: str, ranges: int, least: int, gram: int) -> None:
+        data, at = arrowtools.flat_utf8(rows.column(text))
+        self.whole, ids = data.tobytes(), _ids(rows, doc_id)
+        key = np.concatenate([np.frombuffer(p["keys"], np.uint64) for p in parts])
+        hot = np.concatenate([np.frombuffer(p["hot"], np.uint8) for p in parts]).astype(bool)
+        order = np.argsort(key)
+        key, hot = key[order], hot[order]
+        found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for value, start, count, doc in segments(data, at, least, gram):
+            k = np.minimum(np.searchsorted(key, value), len(key) - 1)
+            mine = key[k] == value
+            single = mine & hot[k]
+            plain = mine & ~hot[k]
+            for to, x in zip(found, (value[plain], start[plain], count[plain] + least - 1, doc[plain]), strict=True):
+                to.append(x)
+            if single.any():  # a hot key's windows, each under a key of its own
+                n = count[single]
+                first = np.concatenate(([0], np.cumsum(n)))
+                each = np.arange(first[-1]) + np.repeat(start[single] - first[:-1], n)
+                power = gram_hashes(data[each[0] : each[-1] + least], least)[each - each[0]]
+                for to, x in zip(found, (power, each, np.full(len(each), least), np.repeat(doc[single], n)), strict=True):
+                    to.append(x)
+        value, start, size, doc = (np.concatenate(x) for x in found)
+        where = _in_range(value, ranges)
+        order = np.argsort(where, kind="stable")
+        where, self.start, self.size, self.doc = where[order], start[order], size[order], ids[doc[order]]
+        self.cuts = np.searchsorted(where, np.arange(ranges + 1))
+        self.ranges = np.flatnonzero(np.diff(self.cuts)).tolist()
+
+    def contents(self, r: int) -> tuple[list[bytes], np.ndarray]:
+        """A range's distinct contents, and the number of each segment's content."""
+        distinct: dict[bytes, int] = {}
+        part = slice(self.cuts[r], self.cuts[r + 1])
+        whole = self.whole
+        number = [distinct.setdefault(whole[s : s + n], len(distinct)) for s, n in zip(self.start[part].tolist(), self.size[part].tolist(), strict=True)]
+        return list(distinct), np.array(number, np.int64)
 
 
 def _send_segments(blocks: DataFrame, shared: DataFrame, text: str, doc_id: str, ranges: int, least: int, gram: int) -> DataFrame:
-    """The segments under shared keys, by range: each distinct content once, and all its places."""
+    """The segments under shared keys, by range: each distinct content once, with the smallest id that has it here.
+
+    Places stay in the block, so a content that very many documents hold costs a range one row a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw, parts in _each(batch, "block", "rows", "parts"):
-                rows = _unpack(raw)
-                data, at = arrowtools.flat_utf8(rows.column(text))
-                whole, ids = data.tobytes(), _ids(rows, doc_id)
-                key = np.concatenate([np.frombuffer(p["keys"], np.uint64) for p in parts])
-                hot = np.concatenate([np.frombuffer(p["hot"], np.uint8) for p in parts]).astype(bool)
-                order = np.argsort(key)
-                key, hot = key[order], hot[order]
-                found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-                for value, start, count, doc in segments(data, at, least, gram):
-                    k = np.minimum(np.searchsorted(key, value), len(key) - 1)
-                    mine = key[k] == value
-                    single = mine & hot[k]
-                    plain = mine & ~hot[k]
-                    for to, x in zip(found, (value[plain], start[plain], count[plain] + least - 1, doc[plain]), strict=True):
-                        to.append(x)
-                    if single.any():  # a hot key's windows, each under a key of its own
-                        n = count[single]
-                        first = np.concatenate(([0], np.cumsum(n)))
-                        each = np.arange(first[-1]) + np.repeat(start[single] - first[:-1], n)
-                        power = gram_hashes(data[each[0] : each[-1] + least], least)[each - each[0]]
-                        for to, x in zip(found, (power, each, np.full(len(each), least), np.repeat(doc[single], n)), strict=True):
-                            to.append(x)
-                value, start, size, doc = (np.concatenate(x) for x in found)
-                where = _in_range(value, ranges)
-                order = np.argsort(where, kind="stable")
-                where, start, size, doc = where[order], start[order], size[order], ids[doc[order]]
-                cuts = np.searchsorted(where, np.arange(ranges + 1))
-                out: dict[str, list] = {c: [] for c in ("range", "block", "sizes", "contents", "content", "place", "id")}
-                for r in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = cuts[r], cuts[r + 1]
-                    distinct: dict[bytes, int] = {}
-                    number = [distinct.setdefault(whole[s : s + n], len(distinct)) for s, n in zip(start[a:b].tolist(), size[a:b].tolist(), strict=True)]
+                own = _Shared(_unpack(raw), parts, text, doc_id, ranges, least, gram)
+                out: dict[str, list] = {c: [] for c in ("range", "block", "sizes", "contents", "ids")}
+                for r in own.ranges:
+                    texts, number = own.contents(r)
+                    low = np.full(len(texts), LAST_ID)
+                    np.minimum.at(low, number, own.doc[own.cuts[r] : own.cuts[r + 1]])
                     out["range"].append(r)
                     out["block"].append(block)
-                    out["sizes"].append(np.fromiter(map(len, distinct), np.uint32, len(distinct)).tobytes())
-                    out["contents"].append(b"".join(distinct))
-                    out["content"].append(np.array(number, np.uint32).tobytes())
-                    out["place"].append(start[a:b].astype(np.uint32).tobytes())
-                    out["id"].append(doc[a:b].tobytes())
+                    out["sizes"].append(np.fromiter(map(len, texts), np.uint32, len(texts)).tobytes())
+                    out["contents"].append(b"".join(texts))
+                    out["ids"].append(low.tobytes())
                 yield _rows(**out)
 
     joined = blocks.select("block", "rows").join(_gathered(shared, "keys", "hot").hint("shuffle_hash"), "block")
-    return joined.mapInArrow(run, "range int, block long, sizes binary, contents binary, content binary, place binary, id binary")
+    return joined.mapInArrow(run, "range int, block long, sizes binary, contents binary, ids binary")
 
 
 def resolve(contents: dict[bytes, int], least: int, gram: int) -> dict[bytes, list[tuple[int, int]]]:
@@ -371,58 +394,71 @@ def resolve(contents: dict[bytes, int], least: int, gram: int) -> dict[bytes, li
     return found
 
 
-def _removed(sent: DataFrame, least: int, gram: int) -> DataFrame:
-    """For each block the ranges to remove."""
+def _answers(sent: DataFrame, least: int, gram: int) -> DataFrame:
+    """For each block and range the smallest id of each content, and the ranges (content, start, end) in contents that others of smaller ids hold."""
 
     def run(table: pa.Table) -> pa.Table:
         messages = []
         smallest: dict[bytes, int] = {}
-        for block, sizes, raw, content, place, ids in zip(*(table.column(c).to_pylist() for c in ("block", "sizes", "contents", "content", "place", "id")), strict=True):
+        for r, block, sizes, raw, ids in zip(*(table.column(c).to_pylist() for c in ("range", "block", "sizes", "contents", "ids")), strict=True):
             ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64))
             texts = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            number, doc = np.frombuffer(content, np.uint32), np.frombuffer(ids, np.int64)
-            low = np.full(len(texts), LAST_ID)
-            np.minimum.at(low, number, doc)
-            for x, d in zip(texts, low.tolist(), strict=True):
+            for x, d in zip(texts, np.frombuffer(ids, np.int64).tolist(), strict=True):
                 if d < smallest.get(x, LAST_ID + 1):
                     smallest[x] = d
-            messages.append((block, texts, number, np.frombuffer(place, np.uint32).astype(np.int64), doc))
+            messages.append((r, block, texts, ids))
         partly = resolve(smallest, least, gram)
-        out: dict[str, list] = {"block": [], "starts": [], "ends": []}
-        for block, texts, number, place, doc in messages:
-            first = np.fromiter((smallest[x] for x in texts), np.int64, len(texts))[number]
-            size = np.fromiter(map(len, texts), np.int64, len(texts))[number]
-            whole = doc > first
-            starts, ends = [place[whole]], [place[whole] + size[whole]]
-            if partly:
-                for k in np.flatnonzero(~whole).tolist():
-                    if spans := partly.get(texts[number[k]]):
-                        spans = np.array(spans)
-                        starts.append(place[k] + spans[:, 0])
-                        ends.append(place[k] + spans[:, 1])
-            start, end = np.concatenate(starts), np.concatenate(ends)
-            if len(start):
-                out["block"].append(block)
-                out["starts"].append(start.astype(np.uint32).tobytes())
-                out["ends"].append(end.astype(np.uint32).tobytes())
+        out: dict[str, list] = {"range": [], "block": [], "first": [], "spans": []}
+        for r, block, texts, ids in messages:
+            first = np.fromiter((smallest[x] for x in texts), np.int64, len(texts))
+            spans = [(k, a, b) for k, x in enumerate(texts) for a, b in partly.get(x, ())] if partly else []
+            # a block with the smallest id of each content may have later documents of its own, so every block is answered
+            out["range"].append(r)
+            out["block"].append(block)
+            out["first"].append(first.tobytes())
+            out["spans"].append(np.array(spans, np.uint32).tobytes())
         return pa.Table.from_batches([_rows(**out)])
 
-    return sent.groupBy("range").applyInArrow(run, "block long, starts binary, ends binary")
+    return sent.groupBy("range").applyInArrow(run, "range int, block long, first binary, spans binary")
 
 
-def _finished(blocks: DataFrame, removed: DataFrame, schema: T.StructType, text: str, made: tuple[str, str, str]) -> DataFrame:
+def _finished(blocks: DataFrame, shared: DataFrame, answers: DataFrame, schema: T.StructType, text: str, doc_id: str, ranges: int, least: int, gram: int, made: tuple[str, str, str]) -> DataFrame:
+    """Each block finds the places of its contents again and cuts out what the answers say."""
     names = [n for n in schema.names if n not in made]
     kinds = T.StructType([*(schema[n] for n in names), *(T.StructField(n, t) for n, t in zip(made, (T.BinaryType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())), strict=True))])
 
+    def removed(rows: pa.RecordBatch, parts: list[dict], told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        own = _Shared(rows, parts, text, doc_id, ranges, least, gram)
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in told:
+            part = slice(own.cuts[t["range"]], own.cuts[t["range"] + 1])
+            first, spans = np.frombuffer(t["first"], np.int64), np.frombuffer(t["spans"], np.uint32).reshape(-1, 3).astype(np.int64)
+            if not len(spans) and (own.doc[part] <= first.min()).all():
+                continue
+            place, size = own.start[part], own.size[part]
+            number = own.contents(t["range"])[1]
+            whole = own.doc[part] > first[number]
+            starts.append(place[whole])
+            ends.append(place[whole] + size[whole])
+            if len(spans):  # each span at each place of its content that stays
+                rest = np.flatnonzero(~whole)
+                rest = rest[np.argsort(number[rest], kind="stable")]
+                low, high = (np.searchsorted(number[rest], spans[:, 0], side) for side in ("left", "right"))
+                n = high - low
+                at = place[rest[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]]
+                starts.append(at + np.repeat(spans[:, 1], n))
+                ends.append(at + np.repeat(spans[:, 2], n))
+        return np.concatenate(starts), np.concatenate(ends)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, parts in _each(batch, "rows", "parts"):
+            for raw, parts, told in _each(batch, "rows", "parts", "told"):
                 rows = _unpack(raw)
                 data, at = arrowtools.flat_utf8(rows.column(text))
                 edge = np.zeros(len(data) + 1, np.int32)
-                for p in parts or ():
-                    np.add.at(edge, np.frombuffer(p["starts"], np.uint32).astype(np.int64), 1)
-                    np.add.at(edge, np.frombuffer(p["ends"], np.uint32).astype(np.int64), -1)
+                if told:
+                    for where, step in zip(removed(rows, parts, told), (1, -1), strict=True):
+                        np.add.at(edge, where, step)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept, starts, ends = [], [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -439,8 +475,9 @@ def _finished(blocks: DataFrame, removed: DataFrame, schema: T.StructType, text:
                 added = [pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), *added], [*names, *made])
 
-    joined = blocks.select("block", "rows").join(_gathered(removed, "starts", "ends").hint("shuffle_hash"), "block", "left")
-    return joined.select("rows", "parts").mapInArrow(run, kinds)
+    both = _gathered(shared, "keys", "hot").join(answers.groupBy("block").agg(F.collect_list(F.struct("range", "first", "spans")).alias("told")), "block")
+    joined = blocks.select("block", "rows").join(both.hint("shuffle_hash"), "block", "left")
+    return joined.select("rows", "parts", "told").mapInArrow(run, kinds)
 
 
 def deduplicated(documents: DataFrame, *, least: int = LEAST, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", kept: str = "kept", span_starts: str = "span_starts", span_ends: str = "span_ends") -> DataFrame:
@@ -449,12 +486,14 @@ def deduplicated(documents: DataFrame, *, least: int = LEAST, gram: int = GRAM,
         raise ValueError("gram must be from 1 to least")
     spark = documents.sparkSession
     shared_dir(spark)
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"quire_blocks_{uuid.uuid4().hex}"
     blocks = _packed(documents, name, text)
+    # the key space is cut finer as the blocks grow in number, so a range's share stays the same
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count() // BLOCKS)
     shared = written(_shared_keys(_send_keys(blocks, text, ranges, least, gram), hot), "shared-keys")
-    removed = written(_removed(_send_segments(blocks, shared, text, doc_id, ranges, least, gram), least, gram), "removed")
-    out = _finished(blocks, removed, documents.schema, text, (kept, span_starts, span_ends))
+    sent = _send_segments(blocks, shared, text, doc_id, ranges, least, gram)
+    answers = written(_answers(sent, least, gram), "answers")
+    out = _finished(blocks, shared, answers, documents.schema, text, doc_id, ranges, least, gram, (kept, span_starts, span_ends))
     spark.sql(f"DROP TABLE IF EXISTS {name}")  # the catalogue's entry; the files stay in the shared folder
     return out
 
