@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import codes, stem
-from quire.operators import compression, docsets, index, marks, merge, present
+from quire.operators import codecs, compression, docsets, index, marks, merge, present
 from quire.plans import boolean, ranked
 from quire.plans.session import Session
 from quire.queries import (
@@ -35,11 +35,11 @@ def source_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.numbered(table(spark, sf_dir, "documents").select("doc_id", key.alias("key")), "key").select("docnum", "doc_id")
 
 
-@_query("SELECT md5(text) AS text_md5, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1")
+@_query("SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1")
 def source_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records up to an end mark, written to files and read back through a registered source."""
     path = scratch(spark, "records")
-    documents(spark, sf_dir).where("text <> ''").select("text").write.option("lineSep", sources.END).text(path)
+    documents(spark, sf_dir).select("text").write.option("lineSep", sources.END).text(path)
     found = registry.documents(spark, registry.parsed(f"# records\nown\tPLAIN\t{path}")["own"])
     return _digested(found).groupBy("text_md5").agg(F.count("*").alias("n"))
 
@@ -396,3 +396,28 @@ def marks_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marks_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over marks."""
     return marks.library_statistics(_marks(spark)).drop("h_runs", "v_runs")
+
+
+@_query("SELECT doc_id, 64::INTEGER AS width, greatest(ceil(strlen(text) / 64), 1)::INTEGER AS height, md5(text) AS text_md5 FROM documents")
+def image_grey_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts' bytes as grey images of 64 columns, in strips, coded and decoded."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = documents(spark, sf_dir)
+    height = F.greatest(F.ceil(F.length(text) / 64), F.lit(1)).cast("int")
+    pages = docs.select(F.col("docnum").cast("string").alias("file"), F.lit(64).alias("width"), height.alias("height"), F.lit(255).alias("most"), F.rpad(text, height * 64, F.lit(b" ")).alias("pixels"))
+    pages = pages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")  # a pixel costs more than its transfer
+    back = codecs.decoded(codecs.encoded(codecs.strips(pages, 64)))
+    part = F.struct(F.split_part("file", F.lit("#"), F.lit(2)).cast("int").alias("k"), "pixels", "height")
+    whole = back.groupBy(F.split_part("file", F.lit("#"), F.lit(1)).cast("long").alias("docnum"), "width").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    pixels = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["pixels"]))
+    sizes = whole.select("docnum", "width", F.aggregate("parts", F.lit(0), lambda a, p: a + p["height"]).alias("height"), pixels.alias("pixels"))
+    lengths = docs.select("docnum", F.length(text).alias("n"))
+    return sizes.join(lengths, "docnum").select(F.col("docnum").alias("doc_id"), "width", "height", F.md5(F.substr("pixels", F.lit(1), F.col("n"))).alias("text_md5"))
+
+
+@_query(f"SELECT * FROM (VALUES ('page', {len(PAGE[0])}, {len(PAGE)}, '{''.join('01' if c == 'X' else '00' for row in PAGE for c in row)}')) v(file, width, height, pixels)")
+def image_bilevel_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bilevel page, coded and decoded."""
+    rows = b"P1\n%d %d\n" % (len(PAGE[0]), len(PAGE)) + " ".join("1" if c == "X" else "0" for row in PAGE for c in row).encode()
+    pages = images.parsed(spark.createDataFrame([("page", rows)], "path string, content binary"))
+    return codecs.decoded(codecs.encoded(pages)).select("file", "width", "height", F.hex("pixels").alias("pixels"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import marks
+from quire.operators import codecs, marks
 from quire.sources import images
 
 PAGE = np.array([[int(c == "X") for c in row] for row in ("XX...X..", "X...X...", "........", ".....XX.", ".X...X..")], np.uint8)
@@ -73,3 +73,22 @@ def test_average_and_quadrants():
     assert marks.average([a], [(0, 0)]).tolist() == a.tolist()
     assert marks.quadrants(np.ones((4, 4), np.uint8)) == [(0, 0), (0, 2), (2, 0), (2, 2)]
     assert marks.overlap_difference(a, c, (0, 0), (0, 0)) == 1
+
+
+def test_codecs():
+    rng = np.random.default_rng(2)
+    for share in (0.02, 0.5, 0.97):
+        for shape in ((1, 1), (7, 1), (1, 9), (33, 40)):
+            page = (rng.random(shape) < share).astype(np.uint8)
+            assert (codecs.decode_bilevel(codecs.encode_bilevel(page)) == page).all()
+            lossy = page ^ (rng.random(shape) < 0.02)
+            raw = codecs.encode_bilevel(page, lossy)
+            assert (codecs.decode_bilevel(raw, lossy) == page).all()
+    assert len(raw) < len(codecs.encode_bilevel(page)) + 40
+    blank = np.zeros((64, 64), np.uint8)
+    assert len(codecs.encode_bilevel(blank)) < 40
+    for most, shape in ((256, (20, 30)), (4, (40, 7)), (1, (5, 5)), (256, (1, 1)), (256, (1, 5)), (256, (5, 1))):
+        grey = rng.integers(0, most, shape).astype(np.uint8)
+        assert (codecs.decode_grey(codecs.encode_grey(grey)) == grey).all()
+    smooth = (np.add.outer(np.arange(64), np.arange(64)) // 2).astype(np.uint8)
+    assert (codecs.decode_grey(codecs.encode_grey(smooth)) == smooth).all() and len(codecs.encode_grey(smooth)) < smooth.size // 2
