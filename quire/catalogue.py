@@ -287,6 +287,18 @@ def boolean_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boolean.matches(stemmed_collection(spark, sf_dir), "idiots & things")
 
 
+_MARKED_STEMS = [stem.stemmed(w, stem.SHORT) for w in ("things", "idiots")]
+
+
+@_query(f"""WITH a AS ({_boolean_sql(OR)}), parts AS (SELECT docnum, unnest(list) AS p, generate_subscripts(list, 1) AS k FROM (SELECT docnum, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS list FROM a JOIN documents ON doc_id = docnum)),
+words AS (SELECT DISTINCT lower(p) AS term FROM parts WHERE regexp_matches(p, '^[A-Za-z0-9]')), {_stem_sql('words')}, hits AS (SELECT term FROM stems WHERE stem IN ({', '.join(f"'{w}'" for w in _MARKED_STEMS)}))
+SELECT docnum, md5(string_agg(CASE WHEN lower(p) IN (SELECT term FROM hits) THEN '<EM>' || p || '</EM>' ELSE p END, '' ORDER BY k)) AS text_md5 FROM parts GROUP BY docnum""")
+def hilite_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with the words marked that have these stems."""
+    c = collection(spark, sf_dir)
+    return _digested(present.highlighted(boolean.matches(c, OR), c.docs, _MARKED_STEMS, "EM", stem.SHORT), "docnum")
+
+
 # --- codes, dictionaries, saved collections ------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.stem import stem
+
 #: A term is a run of ASCII letters and digits that ends before its fifth digit; the rest of the run is the next term. Fixed value.
 TERM = "[A-Za-z]+(?:[0-9][A-Za-z]*){0,4}|[0-9][A-Za-z]*(?:[0-9][A-Za-z]*){0,3}"
 #: A term has at most so many characters. Fixed value.
@@ -46,3 +48,10 @@ def highlighted(text: Column, words: list[str], style: str = "B") -> Column:
         return text
     any_of = "|".join(sorted(words, key=lambda w: (-len(w), w)))
     return F.regexp_replace(text, f"(?i)(?<![A-Za-z0-9])({any_of})(?![A-Za-z0-9])", f"<{style}>$1</{style}>")
+
+
+def highlighted_stems(text: Column, stems: list[str], endings: tuple[tuple[str, str], ...], style: str = "B") -> Column:
+    """HTML with the words marked that have one of these stems."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
+    marked = lambda p: F.rlike(p, F.lit("^[A-Za-z0-9]")) & stem(F.lower(p), endings).isin(stems)
+    return F.array_join(F.transform(parts, lambda p: F.when(marked(p), F.concat(F.lit(f"<{style}>"), p, F.lit(f"</{style}>"))).otherwise(p)), "")

@@ -52,8 +52,10 @@ def heads(answers: DataFrame, docs: DataFrame, length: int = 50) -> DataFrame:
     return answers.select("docnum").join(docs, "docnum").select("docnum", analysis.head(F.col("text"), length).alias("head"))
 
 
-def highlighted(answers: DataFrame, docs: DataFrame, words: list[str], style: str = "B") -> DataFrame:
-    return answers.select("docnum").join(docs, "docnum").select("docnum", analysis.highlighted(F.col("text"), words, style).alias("text"))
+def highlighted(answers: DataFrame, docs: DataFrame, words: list[str], style: str = "B", endings: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """docnum, text with the words marked, or those that have these stems where there are endings."""
+    text = analysis.highlighted_stems(F.col("text"), words, endings, style) if endings else analysis.highlighted(F.col("text"), words, style)
+    return answers.select("docnum").join(docs, "docnum").select("docnum", text.alias("text"))
 
 
 def lines(answers: DataFrame, weight: str = "weight") -> DataFrame:
