@@ -314,7 +314,8 @@ def components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
 def one_of_each(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents' columns, one row of each component: that with the smallest id, then text digest. Rows without words or id stay."""
     found = row_components(documents, size=size, percent=percent).where("node is not null").select("node", "doc_id", "row")
-    best = found.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join with it can split a group that very many rows are in
+    best = written(found.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1"), "best")
     judged = written(found.join(best.drop("n"), "node").withColumn("stays", F.struct("doc_id", "row") == F.col("best")).select("doc_id", "row", "stays"), "judged")
     own, own_row = unused("own_id", documents), unused("own_row", documents)
     keyed = documents.withColumn(own_row, row_key(F.col("text")))
