@@ -138,10 +138,10 @@ def write_batch(path: str, number: int, name: str, df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def by_term(df: DataFrame, *keys: str) -> DataFrame:
-    """Range-partitioned and sorted by term, so that a query reads few row groups."""
+def by_term(df: DataFrame, *keys: str, small: bool = False) -> DataFrame:
+    """Range-partitioned and sorted by term, so that a query reads few row groups; ``small`` lets Spark make fewer ranges of few rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return (df.repartitionByRange(*keys) if small else df.repartitionByRange(n, *keys)).sortWithinPartitions(*keys)
 
 
 def saved(docs: DataFrame, path: str, *, endings: Endings = (), **options: bool) -> Collection:

@@ -60,20 +60,20 @@ def append_saved(path: str, docs: DataFrame, *, number: int | None = None, weigh
     docs = index.write_batch(path, number, "docs", docs)
     if not c.docs.join(docs.select("docnum"), "docnum", "left_semi").isEmpty():
         raise ValueError("documents with these numbers are there already")
-    posted = index.write_batch(path, number, "postings", index.by_term(c.indexed(docs), "term", "docnum"))
-    words = index.write_batch(path, number, "lexicon", index.by_term(index.lexicon(posted), "term"))
+    posted = index.write_batch(path, number, "postings", index.by_term(c.indexed(docs), "term", "docnum", small=True))
+    words = index.write_batch(path, number, "lexicon", index.by_term(index.lexicon(posted), "term", small=True))
     old = c.meta.first()
     n = old["n_docs"] + docs.count()
-    merged = merged_lexicon(c.lexicon, words)
+    there = c.lexicon.join(words.select("term"), "term", "left_semi")  # only terms of new documents are looked up
     if weights == "exact":
-        index.write_batch(path, number, "weights", index.weights(c.postings.unionByName(posted), merged, n))
+        index.write_batch(path, number, "weights", index.weights(c.postings.unionByName(posted), merged_lexicon(c.lexicon, words), n))
         for k in range(number):
             remove(spark, f"{path}/weights/batch={k}")
-    else:  # only terms of new documents are looked up
-        index.write_batch(path, number, "weights", index.weights(posted, merged.join(words.select("term"), "term", "left_semi"), n))
+    else:
+        index.write_batch(path, number, "weights", index.weights(posted, merged_lexicon(there, words), n))
     new = index.statistics(docs, words).first()
     added = {k: old[k] + new[k] for k in ("n_docs", "n_bytes", "n_words")} | {"longest": max(old["longest"], new["longest"])}
-    added["n_terms"] = old["n_terms"] + words.join(c.lexicon.select("term"), "term", "left_anti").count()
+    added["n_terms"] = old["n_terms"] + new["n_terms"] - there.count()
     index.write_batch(path, number, "meta", spark.createDataFrame([tuple(added[k] for k in c.meta.columns)], c.meta.schema))
     return Collection.open(spark, path, **options)
 
