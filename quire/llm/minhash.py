@@ -42,6 +42,8 @@ WORDS = 32
 SPLIT = 256
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
+#: Bits for each id that rows are held against before they are shuffled, and words of 64 such bits at most.
+BITS_AN_ID, MOST_WORDS = 16, 1 << 18
 
 _EDGES = np.arange((1 << BITS) + 1, dtype=np.uint64)
 _ODD = words.mix(np.arange(1, ROWS + 1)) | np.uint64(1)
@@ -311,6 +313,30 @@ def components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     return row_components(documents, size=size, percent=percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _without(documents: DataFrame, keys: DataFrame, own: str, own_row: str) -> DataFrame:
+    """The rows of ``documents``, with ``own_row``, whose id and row ``keys`` (``own``, ``own_row``) doesn't have.
+
+    A row whose id's hash is at no bit of the keys' ids stays as it is; only the others are shuffled with their texts and
+    joined. So a join moves as many texts as there are keys, and few more. The bits are bounded, so many more keys than bits
+    only bring more rows to the join.
+    """
+    bits = 64 * min(MOST_WORDS, max(1, -(-keys.count() * BITS_AN_ID // 64)))
+    word, mask, own_word = unused("word", documents, keys), unused("mask", documents, keys), unused("own_word", documents, keys)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    doc_id = documents["doc_id"].cast("long")
+    masks = keys.select(place(F.col(own)).alias(word)).distinct()
+    masks = masks.groupBy(F.floor(F.col(word) / 64).alias(own_word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({word} % 64 AS int))")).alias(mask))
+    there = documents.withColumn(word, place(doc_id))
+    there = there.join(F.broadcast(masks), F.floor(F.col(word) / 64) == F.col(own_word), "left")
+    perhaps = F.coalesce(F.expr(f"getbit({mask}, cast({word} % 64 AS int))"), F.lit(0).cast("tinyint")) == 1
+    sure = there.where(~perhaps).select(*documents.columns)
+    doubtful = there.where(perhaps).select(*documents.columns)
+    names = unused("key_id", doubtful, keys), unused("key_row", doubtful, keys)
+    keys = keys.select(F.col(own).alias(names[0]), F.col(own_row).alias(names[1]))
+    same = (F.col("doc_id").cast("long") == F.col(names[0])) & (F.col(own_row) == F.col(names[1]))
+    return sure.unionByName(doubtful.join(keys, same, "left_anti"))
+
+
 def one_of_each(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents' columns, one row of each component: that with the smallest id, then text digest. Rows without words or id stay."""
     found = row_components(documents, size=size, percent=percent).where("node is not null").select("node", "doc_id", "row")
@@ -320,9 +346,7 @@ def one_of_each(documents: DataFrame, *, size: int = 5, percent: int = 80) -> Da
     own, own_row = unused("own_id", documents), unused("own_row", documents)
     keyed = documents.withColumn(own_row, row_key(F.col("text")))
     named = lambda df: df.select(F.col("doc_id").alias(own), F.col("row").alias(own_row)).distinct()
-    on = lambda df: (keyed["doc_id"].cast("long") == df[own]) & (keyed[own_row] == df[own_row])
-    goes = named(judged.where("not stays"))
-    kept = keyed.join(goes, on(goes), "left_anti")
+    kept = _without(keyed, named(judged.where("not stays")), own, own_row)
     again = judged.where("stays").groupBy("doc_id", "row").count().where("count > 1")
     if not again.isEmpty():  # else no text is shuffled for it
         again = named(again)

@@ -588,3 +588,27 @@ def test_toxicity(spark, empty):
     assert [(a, b) for a, b in zip(spans["span_starts"], spans["span_ends"], strict=True)] == [(len(rows[1][1]) + 1, len(rows[1][1]) + 8)]
     assert toxicity.judged(empty, marked).count() == 0
     assert {r["score"] for r in toxicity.judged(table, marked.where("false")).collect()} == {0.0}
+
+
+def test_removed_rows_move_alone(spark):
+    """Where rows are taken out by a join, only texts that may go are shuffled; the others stay where they are."""
+    rng = random.Random(7)
+    rows = [(k if k % 50 else None, rng.randbytes(1500).hex()) for k in range(2000)] + [(7, "another text"), (14, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4).cache()
+    docs.count()
+    keyed = docs.withColumn("own_row", minhash.row_key(F.col("text")))
+    goes = keyed.where("doc_id % 21 = 7 and text <> 'another text'").select(F.col("doc_id").cast("long").alias("own_id"), "own_row").cache()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    store, stages = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    moved = lambda: (lambda found: sum(found.apply(k).shuffleWriteBytes() for k in range(found.size())))(store.stageList(None, False, False, stages, None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        found = [(r["doc_id"], r["text"]) for r in minhash._without(keyed, goes, "own_id", "own_row").collect()]
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        went = moved() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = [r for r in rows if r[0] is None or r[0] % 21 != 7 or r[1] == "another text"]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+    assert 0 < went < 0.35 * sum(len(t or "") for _, t in rows) / 2  # hexadecimal digits are packed to a half at best
