@@ -97,6 +97,30 @@ def _append(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
+def _encoder(ranks, pattern: str, text: str, ids: str, names: list[str]):
+    """What ``encode`` runs on the executors; ``ranks`` is a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks.value, pattern)
+        for batch in (part for whole in batches for part in arrowtools.slices(whole, text, CHUNK)):
+            made = pa.array([encode_text(enc, t).tobytes() if t else b"" for t in batch.column(text).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([made if n == ids else batch.column(n) for n in names], names)
+
+    return run
+
+
+def _decoder(ranks, pattern: str, ids: str, decoded: str, names: list[str]):
+    """What ``decode`` runs on the executors; ``ranks`` is a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks.value, pattern)
+        for batch in (part for whole in batches for part in arrowtools.slices(whole, ids, CHUNK)):
+            made = pa.array([enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in batch.column(ids).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([made if n == decoded else batch.column(n) for n in names], names)
+
+    return run
+
+
 def encode(df: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """Adds ``ids``: each id as a little-endian unsigned 32-bit integer, one after the other, in one binary value.
 
@@ -106,15 +130,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", ids
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     schema = _append(df, ids, T.BinaryType())
     names = [n for n in schema.names if keep_text or n != text]
-    schema = T.StructType([schema[n] for n in names])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(shared.value, pattern)
-        for batch in (part for whole in batches for part in arrowtools.slices(whole, text, CHUNK)):
-            made = pa.array([encode_text(enc, t).tobytes() if t else b"" for t in batch.column(text).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([made if n == ids else batch.column(n) for n in names], names)
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_encoder(shared, pattern, text, ids, names), T.StructType([schema[n] for n in names]))
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -122,15 +138,7 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, *, ids: str = "ids", decod
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     schema = _append(df, decoded, T.BinaryType())
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(shared.value, pattern)
-        for batch in (part for whole in batches for part in arrowtools.slices(whole, ids, CHUNK)):
-            made = pa.array([enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in batch.column(ids).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([made if n == decoded else batch.column(n) for n in names], names)
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_decoder(shared, pattern, ids, decoded, schema.names), schema)
 
 
 def id_array(ids: str = "ids"):
@@ -143,10 +151,16 @@ def id_array(ids: str = "ids"):
 
 
 def digests(documents: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from the ids alone."""
-    encoded = encode(documents.select("doc_id", "text"), ranks, pattern, keep_text=False)
-    back = decode(encoded, ranks, pattern)
-    return back.select(
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from the ids alone.
+
+    One Python worker does both for a task: with two nodes each task holds two, which stay for whatever runs next.
+    """
+    ship(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(ranks)
+    thin = documents.select("doc_id", "text")
+    schema = T.StructType([thin.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    there, back = _encoder(shared, pattern, "text", "ids", schema.names[:2]), _decoder(shared, pattern, "ids", "decoded", schema.names)
+    return thin.mapInArrow(lambda batches: back(there(batches)), schema).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

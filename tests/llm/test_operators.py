@@ -287,6 +287,16 @@ def test_byte_bpe_long_runs(spark):
         assert byte_bpe.encode_text(enc, text).tolist() == enc.encode_ordinary(text)
 
 
+def test_byte_bpe_one_worker(spark, docs, rows):
+    """Digests take one Python node, so a task holds one worker, and are those of encode and decode one after the other."""
+    raw = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
+    got = byte_bpe.digests(docs, raw, public_tokenizers.PATTERN)
+    assert len(re.findall(r"MapInArrow|PythonMapInArrow", got._jdf.queryExecution().optimizedPlan().toString())) == 1
+    apart = byte_bpe.decode(byte_bpe.encode(docs, raw, public_tokenizers.PATTERN, keep_text=False), raw, public_tokenizers.PATTERN)
+    want = {r["doc_id"]: (len(r["ids"]) // 4, hashlib.sha256(r["ids"]).hexdigest(), hashlib.sha256(r["decoded"]).hexdigest()) for r in apart.collect()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == want and len(want) == len(rows)
+
+
 # --- 7 ---
 
 
