@@ -10,14 +10,16 @@ one key:
 1. Documents are packed into blocks where they are read, and written once as a table bucketed by block: no later step
    shuffles text.
 2. Each block sends its distinct keys, in packed arrays, to ranges of the key space; a range tells each block which
-   of its keys other documents have too.
+   of its keys other documents have too, by a bit for each in the order sent.
 3. Each block sends the segments under those keys, each distinct content once with the smallest id that has it there;
    their places stay in the block. Contents that several documents
    have whole need no search; among different contents of one key, an enhanced suffix array with its common-prefix
    interval tree (a stack scan that keeps intervals whose suffixes differ in the byte before them) lists the maximal
    repeats with all occurrences. Keys that very many documents have are dealt out by their single windows, so
    of a content that very many documents hold a range sees one row a block.
-4. The smallest id of each content, and ranges that others hold, return to the blocks, which find the places again.
+4. A range tells each block which of its contents another block has under a smaller id, a bit for each in the order sent
+   (a content without it has its smallest id in the block, which knows it), and in the contents that stay the ranges that
+   others hold, joined where they overlap. The blocks find keys, contents and places again.
 
 Defined results: a null or empty text has no bytes; a null id counts as larger than every id; rows that repeat an id
 don't remove each other's bytes; equal texts leave only the one with the smallest id; texts may be of any length; an
@@ -162,6 +164,17 @@ def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, list[
                 stack.append([here, first, left, diverse])
 
 
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same positions in the fewest ranges."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def earlier(contents: list[bytes], ids: list[int], least: int) -> dict[int, list[tuple[int, int]]]:
     """For each content the ranges in it that a content of a smaller id holds too."""
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -170,7 +183,7 @@ def earlier(contents: list[bytes], ids: list[int], least: int) -> dict[int, list
         for t, o in places:
             if ids[t] > first:
                 found[t].append((o, o + length))
-    return found
+    return {t: joined(ranges) for t, ranges in found.items()}  # intervals nest, so one place is found many times
 
 
 # --- the steps -----------------------------------------------------------------------------------------------------
@@ -223,6 +236,16 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()})
 
 
+def _bits(marks: np.ndarray) -> bytes:
+    """A bit for each mark; nothing where none is set."""
+    return np.packbits(marks).tobytes() if marks.any() else b""
+
+
+def _marks(bits: bytes, n: int) -> np.ndarray:
+    """What ``_bits`` packed."""
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) if bits else np.zeros(n, bool)
+
+
 def _send_keys(blocks: DataFrame, text: str, ranges: int, least: int, gram: int) -> DataFrame:
     """Each block's distinct keys and in how many of its documents they are (up to 255), by range."""
 
@@ -256,10 +279,10 @@ def _send_keys(blocks: DataFrame, text: str, ranges: int, least: int, gram: int)
 
 
 def _shared_keys(sent: DataFrame, hot: int) -> DataFrame:
-    """For each block its keys that a second document has, and which of them are hot."""
+    """For each block and range marks of the keys sent: which a second document has, and which of them are hot."""
 
     def run(table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_pylist()
+        numbers, blocks = table.column("range").to_pylist(), table.column("block").to_pylist()
         parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         key = np.concatenate(parts)
         many = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("many").to_pylist()]).astype(np.int64)
@@ -269,16 +292,17 @@ def _shared_keys(sent: DataFrame, hot: int) -> DataFrame:
         per_key = np.empty(len(key), np.int64)
         per_key[order] = np.repeat(total, np.diff(np.append(first, len(key))))
         cuts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        out: dict[str, list] = {"block": [], "keys": [], "hot": []}
-        for block, a, b in zip(blocks, cuts[:-1], cuts[1:], strict=True):
+        out: dict[str, list] = {"range": [], "block": [], "shared": [], "hot": []}
+        for r, block, a, b in zip(numbers, blocks, cuts[:-1], cuts[1:], strict=True):
             mine = per_key[a:b] > 1
             if mine.any():
+                out["range"].append(r)
                 out["block"].append(block)
-                out["keys"].append(key[a:b][mine].tobytes())
-                out["hot"].append((per_key[a:b][mine] > hot).astype(np.uint8).tobytes())
+                out["shared"].append(_bits(mine))
+                out["hot"].append(_bits(mine & (per_key[a:b] > hot)))
         return pa.Table.from_batches([_rows(**out)])
 
-    return sent.groupBy("range").applyInArrow(run, "block long, keys binary, hot binary")
+    return sent.groupBy("range").applyInArrow(run, "range int, block long, shared binary, hot binary")
 
 
 def _gathered(table: DataFrame, *columns: str) -> DataFrame:
@@ -289,22 +313,26 @@ def _gathered(table: DataFrame, *columns: str) -> DataFrame:
 class _Shared:
     """A block's segments under shared keys, by range, each range's distinct contents in order of first occurrence.
 
-    The same for the same block and keys, so that answers for contents find their places again.
+    The same for the same block and marks, so that answers for contents find their places again.
     """
 
     def __init__(self, rows: pa.RecordBatch, parts: list[dict], text: str, doc_id: str, ranges: int, least: int, gram: int) -> None:
         data, at = arrowtools.flat_utf8(rows.column(text))
         self.whole, ids = data.tobytes(), _ids(rows, doc_id)
-        key = np.concatenate([np.frombuffer(p["keys"], np.uint64) for p in parts])
-        hot = np.concatenate([np.frombuffer(p["hot"], np.uint8) for p in parts]).astype(bool)
-        order = np.argsort(key)
-        key, hot = key[order], hot[order]
+        cut = list(segments(data, at, least, gram))
+        key, number = np.unique(np.concatenate([c[0] for c in cut]), return_inverse=True)  # as they were sent
+        cuts = np.searchsorted(_in_range(key, ranges), np.arange(ranges + 1))
+        shared, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        for p in parts:
+            a, b = cuts[p["range"]], cuts[p["range"] + 1]
+            shared[a:b], hot[a:b] = _marks(p["shared"], b - a), _marks(p["hot"], b - a)
         found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for value, start, count, doc in segments(data, at, least, gram):
-            k = np.minimum(np.searchsorted(key, value), len(key) - 1)
-            mine = key[k] == value
-            single = mine & hot[k]
-            plain = mine & ~hot[k]
+        used = 0
+        for value, start, count, doc in cut:
+            k = number[used : used + len(value)]
+            used += len(value)
+            single = hot[k]
+            plain = shared[k] & ~single
             for to, x in zip(found, (value[plain], start[plain], count[plain] + least - 1, doc[plain]), strict=True):
                 to.append(x)
             if single.any():  # a hot key's windows, each under a key of its own
@@ -321,13 +349,15 @@ class _Shared:
         self.cuts = np.searchsorted(where, np.arange(ranges + 1))
         self.ranges = np.flatnonzero(np.diff(self.cuts)).tolist()
 
-    def contents(self, r: int) -> tuple[list[bytes], np.ndarray]:
-        """A range's distinct contents, and the number of each segment's content."""
+    def contents(self, r: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """A range's distinct contents, the number of each segment's content, and the smallest id of each content here."""
         distinct: dict[bytes, int] = {}
         part = slice(self.cuts[r], self.cuts[r + 1])
         whole = self.whole
-        number = [distinct.setdefault(whole[s : s + n], len(distinct)) for s, n in zip(self.start[part].tolist(), self.size[part].tolist(), strict=True)]
-        return list(distinct), np.array(number, np.int64)
+        found = [distinct.setdefault(whole[s : s + n], len(distinct)) for s, n in zip(self.start[part].tolist(), self.size[part].tolist(), strict=True)]
+        number, low = np.array(found, np.int64), np.full(len(distinct), LAST_ID)
+        np.minimum.at(low, number, self.doc[part])
+        return list(distinct), number, low
 
 
 def _send_segments(blocks: DataFrame, shared: DataFrame, text: str, doc_id: str, ranges: int, least: int, gram: int) -> DataFrame:
@@ -342,9 +372,7 @@ def _send_segments(blocks: DataFrame, shared: DataFrame, text: str, doc_id: str,
                 own = _Shared(_unpack(raw), parts, text, doc_id, ranges, least, gram)
                 out: dict[str, list] = {c: [] for c in ("range", "block", "sizes", "contents", "ids")}
                 for r in own.ranges:
-                    texts, number = own.contents(r)
-                    low = np.full(len(texts), LAST_ID)
-                    np.minimum.at(low, number, own.doc[own.cuts[r] : own.cuts[r + 1]])
+                    texts, _, low = own.contents(r)
                     out["range"].append(r)
                     out["block"].append(block)
                     out["sizes"].append(np.fromiter(map(len, texts), np.uint32, len(texts)).tobytes())
@@ -352,7 +380,7 @@ def _send_segments(blocks: DataFrame, shared: DataFrame, text: str, doc_id: str,
                     out["ids"].append(low.tobytes())
                 yield _rows(**out)
 
-    joined = blocks.select("block", "rows").join(_gathered(shared, "keys", "hot").hint("shuffle_hash"), "block")
+    joined = blocks.select("block", "rows").join(_gathered(shared, "range", "shared", "hot").hint("shuffle_hash"), "block")
     return joined.mapInArrow(run, "range int, block long, sizes binary, contents binary, ids binary")
 
 
@@ -395,7 +423,7 @@ def resolve(contents: dict[bytes, int], least: int, gram: int) -> dict[bytes, li
 
 
 def _answers(sent: DataFrame, least: int, gram: int) -> DataFrame:
-    """For each block and range the smallest id of each content, and the ranges (content, start, end) in contents that others of smaller ids hold."""
+    """For each block and range marks of the contents sent that have a smaller id elsewhere, and in the rest the ranges (content, start, end) that others of smaller ids hold."""
 
     def run(table: pa.Table) -> pa.Table:
         messages = []
@@ -408,18 +436,19 @@ def _answers(sent: DataFrame, least: int, gram: int) -> DataFrame:
                     smallest[x] = d
             messages.append((r, block, texts, ids))
         partly = resolve(smallest, least, gram)
-        out: dict[str, list] = {"range": [], "block": [], "first": [], "spans": []}
+        out: dict[str, list] = {"range": [], "block": [], "later": [], "spans": []}
         for r, block, texts, ids in messages:
-            first = np.fromiter((smallest[x] for x in texts), np.int64, len(texts))
-            spans = [(k, a, b) for k, x in enumerate(texts) for a, b in partly.get(x, ())] if partly else []
-            # a block with the smallest id of each content may have later documents of its own, so every block is answered
-            out["range"].append(r)
-            out["block"].append(block)
-            out["first"].append(first.tobytes())
-            out["spans"].append(np.array(spans, np.uint32).tobytes())
+            later = np.fromiter((smallest[x] for x in texts), np.int64, len(texts)) < np.frombuffer(ids, np.int64)
+            # of a content that has a smaller id elsewhere all places in the block go, so its ranges say nothing more
+            spans = [(k, a, b) for k, (x, gone) in enumerate(zip(texts, later.tolist(), strict=True)) if not gone for a, b in partly.get(x, ())] if partly else []
+            if spans or later.any():
+                out["range"].append(r)
+                out["block"].append(block)
+                out["later"].append(_bits(later))
+                out["spans"].append(np.array(spans, np.uint32).tobytes())
         return pa.Table.from_batches([_rows(**out)])
 
-    return sent.groupBy("range").applyInArrow(run, "range int, block long, first binary, spans binary")
+    return sent.groupBy("range").applyInArrow(run, "range int, block long, later binary, spans binary")
 
 
 def _finished(blocks: DataFrame, shared: DataFrame, answers: DataFrame, schema: T.StructType, text: str, doc_id: str, ranges: int, least: int, gram: int, made: tuple[str, str, str]) -> DataFrame:
@@ -430,14 +459,17 @@ def _finished(blocks: DataFrame, shared: DataFrame, answers: DataFrame, schema:
     def removed(rows: pa.RecordBatch, parts: list[dict], told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         own = _Shared(rows, parts, text, doc_id, ranges, least, gram)
         starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for t in told:
-            part = slice(own.cuts[t["range"]], own.cuts[t["range"] + 1])
-            first, spans = np.frombuffer(t["first"], np.int64), np.frombuffer(t["spans"], np.uint32).reshape(-1, 3).astype(np.int64)
-            if not len(spans) and (own.doc[part] <= first.min()).all():
+        answers = {t["range"]: t for t in told}
+        for r in own.ranges:
+            part = slice(own.cuts[r], own.cuts[r + 1])
+            place, size, doc = own.start[part], own.size[part], own.doc[part]
+            if r not in answers and (doc == doc[0]).all():
                 continue
-            place, size = own.start[part], own.size[part]
-            number = own.contents(t["range"])[1]
-            whole = own.doc[part] > first[number]
+            t = answers.get(r, {"later": b"", "spans": b""})
+            spans = np.frombuffer(t["spans"], np.uint32).reshape(-1, 3).astype(np.int64)
+            _, number, low = own.contents(r)
+            # a block with the smallest id of a content may have later documents of its own
+            whole = (doc > low[number]) | _marks(t["later"], len(low))[number]
             starts.append(place[whole])
             ends.append(place[whole] + size[whole])
             if len(spans):  # each span at each place of its content that stays
@@ -456,8 +488,8 @@ def _finished(blocks: DataFrame, shared: DataFrame, answers: DataFrame, schema:
                 rows = _unpack(raw)
                 data, at = arrowtools.flat_utf8(rows.column(text))
                 edge = np.zeros(len(data) + 1, np.int32)
-                if told:
-                    for where, step in zip(removed(rows, parts, told), (1, -1), strict=True):
+                if parts:
+                    for where, step in zip(removed(rows, parts, told or []), (1, -1), strict=True):
                         np.add.at(edge, where, step)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept, starts, ends = [], [], []
@@ -475,7 +507,7 @@ def _finished(blocks: DataFrame, shared: DataFrame, answers: DataFrame, schema:
                 added = [pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), *added], [*names, *made])
 
-    both = _gathered(shared, "keys", "hot").join(answers.groupBy("block").agg(F.collect_list(F.struct("range", "first", "spans")).alias("told")), "block")
+    both = _gathered(shared, "range", "shared", "hot").join(answers.groupBy("block").agg(F.collect_list(F.struct("range", "later", "spans")).alias("told")), "block", "left")
     joined = blocks.select("block", "rows").join(both.hint("shuffle_hash"), "block", "left")
     return joined.select("rows", "parts", "told").mapInArrow(run, kinds)
 

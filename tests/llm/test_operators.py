@@ -203,6 +203,27 @@ def test_suffix_dedup_odd(spark, empty):
     assert got == [(7, 0, 0), (7, 0, 0), (9, len(same), 1), (99, len(same), 1)]
 
 
+def test_suffix_dedup_answers_stay_small(spark, rows, monkeypatch):
+    """What ranges tell the blocks is a bit for a key or content, and ranges that overlap are one."""
+    told, write = {}, suffix_dedup.written
+
+    def seen(df, what):
+        out = write(df, what)
+        columns = [n for n, t in out.dtypes if t == "binary"]
+        told[what] = out.select(F.sum(sum(F.octet_length(c) for c in columns))).first()[0]
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", seen)
+    docs = frame(spark, rows).repartition(3, "doc_id")
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.deduplicated(docs).collect()}
+    assert got == removed(rows, 50)
+    whole = sum(len((t or "").encode()) for _, t in rows)
+    assert told.keys() == {"shared-keys", "answers"}
+    assert told["shared-keys"] < whole / 20 and told["answers"] < whole / 20, (told, whole)
+    for spans in suffix_dedup.resolve({b"ab" * 30: 1, b"ba" * 30: 2, b"c" + b"ab" * 20 + b"d" + b"ab" * 9: 3}, 4, 2).values():
+        assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_maximal_repeats():
     rng = random.Random(4)
     for _ in range(60):
